@@ -9,14 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def attach_one_row(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Add the columns of a table of at most one row to every row, as a scalar subquery.
+
+    Spark runs the subquery once and fails if it has more than one row; no join takes place. If it
+    has none, the columns are null.
+    """
+    names = right.columns
+    packed = right.select(F.struct(*[F.col(c) for c in names]).alias("_row")).scalar()
+    return left.withColumn("_row", packed).select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in names])
+
+
 def join_groups(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on `on` where null matches null; the key columns appear once, from `left`.
 
-    With no keys `right` must be a one-row table (a total over all rows), and is attached to every row.
+    With no keys `right` holds totals over all rows: a single row, attached to every left row.
     """
     if not on:
-        return left.join(F.broadcast(right.withColumn("_one", F.lit(1))),
-                         on=F.col("_one") == F.lit(1), how=how).drop("_one")
+        return attach_one_row(left, right)
     renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
     matches = [left[c].eqNullSafe(renamed[f"_right_{c}"]) for c in on]
     joined = left.join(renamed, reduce(lambda a, b: a & b, matches), how)

@@ -117,6 +117,17 @@ def with_runs(df: DataFrame, runs: Sequence[Run]) -> DataFrame:
     return df.select("*", F.inline(literal))
 
 
+def participation_cutoffs(
+    population: DataFrame, action: CollectiveAction, runs: Sequence[Run], id_col: str = "ID"
+) -> DataFrame:
+    """The hash below which an eligible row takes part, one row per run that has participants."""
+    candidates = with_runs(population.where(eligible(action)).select(id_col), runs)
+    hashed = candidates.withColumn(HASH, seeded_hash(F.col("run_seed"), id_col))
+    return hash_cutoffs(
+        hashed.select("run_id", "frac", HASH), ["run_id"], truncated_share(F.col("frac")), carry=["frac"]
+    )
+
+
 def apply_action_runs(
     df: DataFrame, action: CollectiveAction, runs: Sequence[Run], id_col: str = "ID"
 ) -> DataFrame:
@@ -125,11 +136,7 @@ def apply_action_runs(
     Per run exactly int(n_eligible * frac) eligible rows take part. The one-row-per-run cutoffs are
     broadcast (their number is checked in `with_runs`); the rows themselves are not shuffled.
     """
-    candidates = with_runs(df.where(eligible(action)).select(id_col), runs)
-    hashed = candidates.withColumn(HASH, seeded_hash(F.col("run_seed"), id_col))
-    cutoffs = hash_cutoffs(
-        hashed.select("run_id", "frac", HASH), ["run_id"], truncated_share(F.col("frac")), carry=["frac"]
-    )
+    cutoffs = participation_cutoffs(df, action, runs, id_col)
     rows = with_runs(df, runs)
     joined = join_groups(rows, F.broadcast(cutoffs), ["run_id"], "left")
     own_hash = F.when(eligible(action), seeded_hash(F.col("run_seed"), id_col))

@@ -51,11 +51,12 @@ def even_points(low: float, high: float, slices: int) -> list[float]:
 
 def with_slice(df: DataFrame, key: str, points: Sequence[float]) -> DataFrame:
     """Add the slice number of `key`; null and NaN go to a slice after all others."""
+    last = F.lit(len(points) + 1)
     if not points:
-        return df.withColumn(SLICE, F.when(F.col(key).isNull() | F.isnan(key), 1.0).otherwise(0.0))
+        return df.withColumn(SLICE, F.when(F.col(key).isNull() | F.isnan(key), last).otherwise(0))
     edges = [float("-inf"), *points, float("inf")]
     cutter = Bucketizer(splits=edges, inputCol=key, outputCol=SLICE, handleInvalid="keep")
-    return cutter.transform(df)
+    return cutter.transform(df).withColumn(SLICE, F.coalesce(F.col(SLICE).cast("int"), last))
 
 
 def running_totals(

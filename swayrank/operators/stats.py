@@ -73,21 +73,32 @@ def is_categorical(df: DataFrame, cols: Sequence[str], threshold: int = 10) -> D
     return counted.withColumn("categorical", F.col("n_unique") <= threshold)
 
 
-def paired_interval(before: str, after: str, confidence: float = 0.95) -> dict[str, Column]:
-    """Aggregates of D = before - after and its t-interval, ready for `groupBy(..).agg`."""
+def paired_moments(before: str, after: str) -> list[Column]:
+    """Aggregates of D = before - after an interval needs: pairs, mean, standard error."""
     d = F.col(before) - F.col(after)
-    n, mean = F.count(d), F.avg(d)
-    se = F.stddev_samp(d) / F.sqrt(n)
-    margin = t_critical(n - 1, confidence) * se
-    return {"n": n, "mean_diff": mean, "se_diff": se, "ci_low": mean - margin, "ci_high": mean + margin}
+    return [
+        F.count(d).alias("n"),
+        F.avg(d).alias("mean_diff"),
+        (F.stddev_samp(d) / F.sqrt(F.count(d))).alias("se_diff"),
+    ]
+
+
+def with_interval(moments: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """Add the t-interval of the mean difference; null bounds for a single pair."""
+    margin = t_critical(F.col("n") - 1, confidence) * F.col("se_diff")
+    return (
+        moments.withColumn("_margin", margin)
+        .withColumns({"ci_low": F.col("mean_diff") - F.col("_margin"), "ci_high": F.col("mean_diff") + F.col("_margin")})
+        .drop("_margin")
+    )
 
 
 def paired_t_interval(
     df: DataFrame, before: str = "normalised_rank", after: str = "normalised_rank_modified",
     by: Sequence[str] = (), confidence: float = 0.95,
 ) -> DataFrame:
-    """Mean difference before - after with its confidence interval; null bounds for one pair."""
-    return df.groupBy(*by).agg(*[e.alias(c) for c, e in paired_interval(before, after, confidence).items()])
+    """Mean difference before - after with its confidence interval, per group."""
+    return with_interval(df.groupBy(*by).agg(*paired_moments(before, after)), confidence)
 
 
 def participants(df: DataFrame, flag: str = "aca_flag") -> DataFrame:
@@ -102,14 +113,12 @@ def summarise_participants(
     Normalised ranks are evenly spaced in (0, 1], so equal-width slices are balanced without a
     quantile pass.
     """
-    interval = paired_interval(before, after)
-    means = df.groupBy(*by).agg(
+    means = with_interval(df.groupBy(*by).agg(
         F.count("*").alias("num_participants"),
         F.avg(before).alias("avg_normalised_rank"),
         F.avg(after).alias("avg_modified_normalised_rank"),
-        interval["ci_low"].alias("ci_low"),
-        interval["ci_high"].alias("ci_high"),
-    )
+        *paired_moments(before, after),
+    ))
     phases = F.explode(F.array(
         F.struct(F.lit("before").alias("phase"), F.col(before).alias("value")),
         F.struct(F.lit("after").alias("phase"), F.col(after).alias("value")),
