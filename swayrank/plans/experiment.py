@@ -7,14 +7,14 @@ need no join on ID.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swayrank.functions.joins import attach_one_row, join_groups
-from swayrank.operators.action import CollectiveAction, Run, apply_action_runs
+from swayrank.operators.action import CollectiveAction, Run
 from swayrank.operators.ranking import (
     attach_ranks,
     qini_auc,
@@ -30,12 +30,9 @@ from swayrank.operators.stats import (
     position_histogram,
     summarise_participants,
 )
+from swayrank.plans.refit import RUN_KEYS, Rescore
 from swayrank.session import freeze
 
-RUN_KEYS = ["run_id", "frac"]
-
-Score = Callable[[DataFrame], DataFrame]
-
 
 @dataclass(frozen=True)
 class Trial:
@@ -66,16 +63,16 @@ def baseline_ranking(scored: DataFrame, trial: Trial) -> tuple[DataFrame, DataFr
 
 
 def rank_after_action(
-    baseline: DataFrame, action: CollectiveAction, runs: Sequence[Run], rescore: Score, trial: Trial
+    baseline: DataFrame, action: CollectiveAction, runs: Sequence[Run], rescore: Rescore, trial: Trial
 ) -> Reranked:
     """Apply the action once per run, score again with `rescore`, and rank within each run.
 
-    `baseline` carries uplift and normalised_rank. `rescore` gets the changed rows of all runs (keyed
-    by run_id) and adds the new `uplift`.
+    `baseline` carries uplift and normalised_rank. `rescore` returns its rows once per run, changed
+    and with the new `uplift`.
     """
     kept = {f"_before_{c}": F.col(c) for c in [*action.attack_features, "uplift", "normalised_rank"]}
     carried = baseline.withColumns(kept).drop("uplift", "rank", "normalised_rank")
-    rescored = rescore(apply_action_runs(carried, action, runs, trial.id_col))
+    rescored = rescore(carried, action, runs, trial.id_col)
     cells = qini_cells(rescored, "uplift", trial.treatment, trial.target, by=RUN_KEYS)
     slim = rescored.select(*RUN_KEYS, trial.id_col, "uplift", "aca_flag", *kept)
     ranked = attach_ranks(slim, cells, "uplift", RUN_KEYS)
@@ -120,7 +117,7 @@ def summarise_runs(
 
 
 def run_grid(
-    scored_test: DataFrame, action: CollectiveAction, runs: Sequence[Run], rescore: Score, trial: Trial
+    scored_test: DataFrame, action: CollectiveAction, runs: Sequence[Run], rescore: Rescore, trial: Trial
 ) -> DataFrame:
     """The whole grid of repeats as one plan; the baseline is scored and ranked once."""
     ranked, qini = baseline_ranking(scored_test, trial)
@@ -128,14 +125,14 @@ def run_grid(
 
 
 def run_experiment(
-    scored_test: DataFrame, action: CollectiveAction, rescore: Score, trial: Trial, seed: int = 42
+    scored_test: DataFrame, action: CollectiveAction, rescore: Rescore, trial: Trial, seed: int = 42
 ) -> DataFrame:
     """One repeat: one summary row."""
     return run_grid(scored_test, action, [Run(0, seed, action.frac)], rescore, trial).drop("run_id")
 
 
 def before_after(
-    scored_test: DataFrame, action: CollectiveAction, rescore: Score, trial: Trial, seed: int = 42
+    scored_test: DataFrame, action: CollectiveAction, rescore: Rescore, trial: Trial, seed: int = 42
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One repeat in detail: compared rows, Qini before/after/change, and distribution histograms."""
     ranked, qini = baseline_ranking(scored_test, trial)
@@ -149,7 +146,7 @@ def before_after(
 
 
 def ranking_comparison(
-    scored_test: DataFrame, action: CollectiveAction, rescore: Score, trial: Trial, seed: int = 42
+    scored_test: DataFrame, action: CollectiveAction, rescore: Rescore, trial: Trial, seed: int = 42
 ) -> DataFrame:
     """Curves before and after, the random line, and where participants stand, as one long table.
 

@@ -18,6 +18,8 @@ BAND_DEFAULT = 1000
 
 ARM_VALUES = {"1-URGENT": 1, "2-HIGH": 1, "5-LOW": 0}
 
+ALL_ARMS = {"1-URGENT": 1, "2-HIGH": 1, "4-NOT SPECIFIED": 0, "5-LOW": 0}
+
 FEATURES = ["recency", "history", "newbie"]
 
 NEWBIE_ACTION = CollectiveAction({"newbie": "=0"}, [{"newbie": "=1"}], 0.05)

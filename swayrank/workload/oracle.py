@@ -213,10 +213,11 @@ ORACLE["map_ordinal"] = with_campaign(
     "FROM campaign")
 CHANNELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-ORACLE["one_hot"] = with_campaign("SELECT ID, " + ", ".join(
+ONE_HOT = ", ".join(
     f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v}\""
     for c, vs in (("zip_code", REGIONS), ("channel", CHANNELS)) for v in vs
-) + " FROM campaign")
+)
+ORACLE["one_hot"] = with_campaign(f"SELECT ID, {ONE_HOT} FROM campaign")
 ORACLE["assign_id"] = with_campaign(
     "SELECT ID AS order_id, recency, row_number() OVER (ORDER BY recency, campaign.ID) - 1 AS ID FROM campaign")
 ORACLE["select_features"] = with_campaign(
@@ -255,6 +256,19 @@ hashed AS (SELECT ID, segment, row_number() OVER (PARTITION BY segment ORDER BY
 SELECT ID, h.segment, CASE WHEN place <= quota THEN 'test' ELSE 'train' END AS side
 FROM hashed h JOIN quotas q ON q.segment = h.segment""")
 SEEDS = ", ".join(f"({i}, {s})" for i, s in enumerate(smp.seed_list(20)))
+ORACLE["prepare_campaign"] = with_campaign(""",
+sizes AS (SELECT segment, count(*) AS n FROM campaign GROUP BY segment),
+shares AS (SELECT segment, n * ceil(sum(n) OVER () * CAST(0.3 AS DOUBLE)) / CAST(sum(n) OVER () AS DOUBLE) AS exact,
+  ceil(sum(n) OVER () * CAST(0.3 AS DOUBLE)) AS wanted FROM sizes),
+quotas AS (SELECT segment, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, segment)
+  <= wanted - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS quota FROM shares),
+hashed AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY md5('42:' || CAST(ID AS VARCHAR))) AS place
+  FROM campaign),
+flagged AS (SELECT h.*, q.quota, h.treatment AS t FROM hashed h JOIN quotas q ON q.segment = h.segment)
+SELECT ID, segment, visit, recency, round(history, 6) + 0.0 AS history,
+  CASE history_segment WHEN '1) low' THEN 50 WHEN '2) mid' THEN 175 ELSE 1000 END AS history_segment, newbie,
+""" + ONE_HOT + """, t AS treatment, CASE WHEN t = visit THEN 1 ELSE 0 END AS label,
+  CASE WHEN place <= quota THEN 'test' ELSE 'train' END AS side FROM flagged""")
 ORACLE["seed_grid"] = with_campaign(f""",
 seeds AS (SELECT * FROM (VALUES {SEEDS}) AS v(run_id, seed)),
 drawn AS (SELECT run_id, seed, ID,

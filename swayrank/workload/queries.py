@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from swayrank.functions.joins import attach_one_row
+from swayrank.models import store
+from swayrank.models.attribution import background_kmeans as kmeans_centres
+from swayrank.models.attribution import shapley_attributions as shapley
+from swayrank.models.class_transform import BoostedTreesConfig, NeuralNetConfig
+from swayrank.models.forest import ForestConfig
 from swayrank.operators import action as act
 from swayrank.operators import prepare as prep
 from swayrank.operators import ranking as rank
@@ -17,9 +22,13 @@ from swayrank.operators import report as rep
 from swayrank.operators import sampling as smp
 from swayrank.operators import stats as sts
 from swayrank.plans import experiment as exp
+from swayrank.plans.prepare import Prepared, prepare_email
+from swayrank.plans.refit import fixed_score, refitted
+from swayrank.plans.train import ExplainConfig, train_and_explain
 from swayrank.session import freeze, shared_folder
 from swayrank.sources import tables as src
 from swayrank.workload.campaign import (
+    ALL_ARMS,
     ARM_VALUES,
     BAND_DEFAULT,
     BAND_VALUES,
@@ -41,6 +50,8 @@ GRID_RUNS = act.run_grid_keys((0.02, 0.05, 0.1), smp.seed_list(10))
 SMALL_RUNS = act.run_grid_keys((0.05, 0.1), smp.seed_list(4))
 ATTRIBUTED = [*FEATURES, "treatment"]
 
+FORMULA = fixed_score(formula_score)
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -279,7 +290,7 @@ def random_baseline(spark, sf_dir):
 def _compared(spark, sf_dir, action, seed=42):
     baseline, _ = exp.baseline_ranking(scored_campaign(spark, sf_dir), TRIAL)
     run = [act.Run(0, seed, action.frac)]
-    return exp.rank_after_action(baseline, action, run, formula_score, TRIAL).comparison.drop(*exp.RUN_KEYS)
+    return exp.rank_after_action(baseline, action, run, FORMULA, TRIAL).comparison.drop(*exp.RUN_KEYS)
 
 
 @query
@@ -307,18 +318,18 @@ def paired_t_interval(spark, sf_dir):
 
 @query
 def run_experiment(spark, sf_dir):
-    return rounded(exp.run_experiment(scored_campaign(spark, sf_dir), RECENCY_ACTION, formula_score, TRIAL))
+    return rounded(exp.run_experiment(scored_campaign(spark, sf_dir), RECENCY_ACTION, FORMULA, TRIAL))
 
 
 @query
 def run_grid(spark, sf_dir):
-    return rounded(exp.run_grid(scored_campaign(spark, sf_dir), RECENCY_ACTION, GRID_RUNS, formula_score, TRIAL))
+    return rounded(exp.run_grid(scored_campaign(spark, sf_dir), RECENCY_ACTION, GRID_RUNS, FORMULA, TRIAL))
 
 
 def small_grid(spark, sf_dir):
     """Results of a small grid, written once like every result table before it is aggregated."""
     scored = scored_campaign(spark, sf_dir)
-    return freeze(exp.run_grid(scored, HISTORY_ACTION, SMALL_RUNS, formula_score, TRIAL))
+    return freeze(exp.run_grid(scored, HISTORY_ACTION, SMALL_RUNS, FORMULA, TRIAL))
 
 
 @query
@@ -386,13 +397,13 @@ def position_histogram(spark, sf_dir):
 def before_after_formula(spark, sf_dir):
     """Qini before, after and its change for one action."""
     scored = scored_campaign(spark, sf_dir)
-    return rounded(exp.before_after(scored, HISTORY_ACTION, formula_score, TRIAL)[1])
+    return rounded(exp.before_after(scored, HISTORY_ACTION, FORMULA, TRIAL)[1])
 
 
 @query
 def ranking_comparison(spark, sf_dir):
     scored = scored_campaign(spark, sf_dir)
-    return rounded(exp.ranking_comparison(scored, RECENCY_ACTION, formula_score, TRIAL))
+    return rounded(exp.ranking_comparison(scored, RECENCY_ACTION, FORMULA, TRIAL))
 
 
 @query
@@ -443,3 +454,147 @@ def propose_action(spark, sf_dir):
     cases = F.explode(F.array(F.lit(0.5), F.lit(-0.5), F.lit(0.0))).alias("correlation")
     proposed = rep.propose_action(stats.select("*", cases))
     return rounded(proposed.select("feature", "correlation", "proposed_strategy", "from_value", "to_value"))
+
+
+# ---- models: fitted on the whole training side, scored on the whole test side ----
+
+MODEL_CONFIGS = {
+    "lgbm": BoostedTreesConfig(n_estimators=10, learning_rate=0.1),
+    "mlp": NeuralNetConfig(max_iter=20),
+    "uplift_rf": ForestConfig(),
+}
+MODEL_RUNS = act.run_grid_keys((0.1,), smp.seed_list(2))
+
+
+def prepared(spark, sf_dir) -> Prepared:
+    """The campaign prepared like an e-mail trial: one arm dropped, bands and categories encoded, split."""
+    rows = trial_rows(spark, sf_dir).drop("treatment")
+    return prepare_email(
+        rows, arms=ALL_ARMS, excluded=DROPPED_ARM, bands=BAND_VALUES, band_default=BAND_DEFAULT,
+    )
+
+
+def _frozen(spark, sf_dir) -> Prepared:
+    sides = prepared(spark, sf_dir)
+    return Prepared(freeze(sides.train), freeze(sides.test), sides.features)
+
+
+def _fitted(spark, sf_dir, name):
+    sides = _frozen(spark, sf_dir)
+    return store.fit_model(name, sides.train, sides.features, MODEL_CONFIGS[name]), sides
+
+
+@query
+def prepare_campaign(spark, sf_dir):
+    """Both sides of the prepared trial with all encoded columns."""
+    sides = prepared(spark, sf_dir)
+    both = sides.train.withColumn("side", F.lit("train")).unionByName(sides.test.withColumn("side", F.lit("test")))
+    return rounded(both)
+
+
+@query
+def ct_gbt(spark, sf_dir):
+    model, sides = _fitted(spark, sf_dir, "lgbm")
+    return rounded(model.score(sides.test).select("ID", "uplift"))
+
+
+@query
+def ct_mlp(spark, sf_dir):
+    model, sides = _fitted(spark, sf_dir, "mlp")
+    return rounded(store.predict_uplift(model, sides.test).select("ID", "uplift"))
+
+
+@query
+def uplift_forest(spark, sf_dir):
+    model, sides = _fitted(spark, sf_dir, "uplift_rf")
+    return rounded(model.score(sides.test).select("ID", "uplift"))
+
+
+@query
+def feature_importances(spark, sf_dir):
+    model, _ = _fitted(spark, sf_dir, "uplift_rf")
+    return rounded(model.feature_importances(spark))
+
+
+@query
+def background_kmeans(spark, sf_dir):
+    return rounded(kmeans_centres(campaign(spark, sf_dir), FEATURES, 20, 42))
+
+
+@query
+def shapley_attributions(spark, sf_dir):
+    """Attributions of a forest on every test row, against a background sample."""
+    model, sides = _fitted(spark, sf_dir, "uplift_rf")
+    background = freeze(smp.sample_k(sides.test, "ID", 5, 42).select(*sides.features))
+    return rounded(shapley(model.margin, sides.test, background, sides.features, n_permutations=1))
+
+
+@query
+def train_and_explain_model(spark, sf_dir):
+    """Action report of boosted trees explained on every training row."""
+    sides = _frozen(spark, sf_dir)
+    trained = train_and_explain(
+        "lgbm", sides.train, sides.test, sides.features, TRIAL, MODEL_CONFIGS["lgbm"],
+        ExplainConfig(background=3, n_permutations=1),
+    )
+    return rounded(trained.report)
+
+
+def _refit(spark, sf_dir, name):
+    model, sides = _fitted(spark, sf_dir, name)
+    rescore = refitted(name, sides.train, sides.features, MODEL_CONFIGS[name])
+    return model.score(sides.test), rescore, exp.Trial(dataset="campaign", model=name)
+
+
+@query
+def rank_after_action(spark, sf_dir):
+    scored, rescore, trial = _refit(spark, sf_dir, "uplift_rf")
+    baseline, _ = exp.baseline_ranking(scored, trial)
+    return rounded(exp.rank_after_action(baseline, RECENCY_ACTION, MODEL_RUNS, rescore, trial).comparison)
+
+
+@query
+def run_grid_forest(spark, sf_dir):
+    scored, rescore, trial = _refit(spark, sf_dir, "uplift_rf")
+    return rounded(exp.run_grid(scored, RECENCY_ACTION, MODEL_RUNS, rescore, trial))
+
+
+@query
+def run_grid_boosted_trees(spark, sf_dir):
+    scored, rescore, trial = _refit(spark, sf_dir, "lgbm")
+    return rounded(exp.run_grid(scored, RECENCY_ACTION, MODEL_RUNS, rescore, trial))
+
+
+@query
+def before_after(spark, sf_dir):
+    scored, rescore, trial = _refit(spark, sf_dir, "uplift_rf")
+    return rounded(exp.before_after(scored, RECENCY_ACTION, rescore, trial)[2])
+
+
+@query
+def ranking_comparison_forest(spark, sf_dir):
+    scored, rescore, trial = _refit(spark, sf_dir, "uplift_rf")
+    return rounded(exp.ranking_comparison(scored, RECENCY_ACTION, rescore, trial))
+
+
+@query
+def compare_models(spark, sf_dir):
+    """Qini of every stored model on one test table."""
+    sides = _frozen(spark, sf_dir)
+    folders = {}
+    for name, config in MODEL_CONFIGS.items():
+        model = store.fit_model(name, sides.train, sides.features, config)
+        folders[name] = scratch(spark, name)
+        store.save_model(model, folders[name], spark.createDataFrame([], src.REPORT_SCHEMA))
+    folders["not_stored"] = scratch(spark, "none")
+    _, qini = exp.compare_models(freeze(store.score_saved_models(spark, folders, sides.test)), TRIAL)
+    return rounded(qini)
+
+
+@query
+def save_load_model(spark, sf_dir):
+    """Scores of a forest after writing and reading it back."""
+    model, sides = _fitted(spark, sf_dir, "uplift_rf")
+    folder = scratch(spark, "forest")
+    store.save_model(model, folder, spark.createDataFrame([], src.REPORT_SCHEMA))
+    return rounded(store.load_model(spark, folder).score(sides.test).select("ID", "uplift"))
