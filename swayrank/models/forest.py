@@ -265,7 +265,8 @@ def best_splits(stats: DataFrame, rates: DataFrame, by: Sequence[str], config: F
     nodes = [*by, "tree", "node"]
     cell = Window.partitionBy(*nodes, "split_on")
     upwards = cell.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sides = stats.select(
+    # One shuffle by node serves the windows and the final choice.
+    sides = stats.repartition(*nodes).select(
         *nodes, "split_on", "bin",
         *[F.sum(c).over(upwards).cast("double").alias(f"hi_{c}") for c in STATS],
         *[F.sum(c).over(cell).cast("double").alias(c) for c in STATS],
@@ -294,9 +295,8 @@ def best_splits(stats: DataFrame, rates: DataFrame, by: Sequence[str], config: F
             _entropy(treated) * _divergence(at, ac) + treated * _entropy(at) + (1 - treated) * _entropy(ac) + 0.5
         )
     # Each node looks at max_features of the features, picked by hash.
-    pick = F.dense_rank().over(
-        Window.partitionBy(*nodes).orderBy(F.xxhash64(F.lit(config.random_state), "tree", "node", "split_on"))
-    )
+    draw = F.xxhash64(F.lit(config.random_state), "tree", "node", "split_on")
+    pick = F.dense_rank().over(Window.partitionBy(*nodes).orderBy(draw))
     admissible = (c("bin") > 0) & (c("pick") <= config.max_features) & (c("gain") > 0)
     for side in ("lo", "hi"):
         admissible &= c(f"{side}_n") >= config.min_samples_leaf

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swayrank.functions.joins import join_groups
 from swayrank.operators.sampling import HASH, hash_cutoffs, seeded_hash, truncated_share
 
 MAX_RUNS_PER_JOB = 5_000
@@ -102,30 +101,39 @@ def apply_attacks(df: DataFrame, action: CollectiveAction, flag: str = "aca_flag
     )
 
 
-def with_runs(df: DataFrame, runs: Sequence[Run]) -> DataFrame:
-    """Repeat every row once per run, adding run_id, run_seed and frac.
+def with_runs(df: DataFrame, runs: Sequence[Run], cutoffs: Mapping[int, str] | None = None) -> DataFrame:
+    """Repeat every row once per run, adding run_id, run_seed and frac (and the run's cutoff).
 
     The runs are a literal array unfolded inside the scan's stage, so their number is bounded by the
     caller's list and no join takes place.
     """
     if not 0 < len(runs) <= MAX_RUNS_PER_JOB:
         raise ValueError(f"give between 1 and {MAX_RUNS_PER_JOB} runs per job")
-    literal = F.array(*[
-        F.struct(F.lit(r.run_id).alias("run_id"), F.lit(r.seed).alias("run_seed"), F.lit(float(r.frac)).alias("frac"))
-        for r in runs
-    ])
-    return df.select("*", F.inline(literal))
+    rows = []
+    for run in runs:
+        fields = [F.lit(run.run_id).alias("run_id"), F.lit(run.seed).alias("run_seed"),
+                  F.lit(float(run.frac)).alias("frac")]
+        if cutoffs is not None:
+            fields.append(F.lit(cutoffs.get(run.run_id, "")).alias("cutoff"))
+        rows.append(F.struct(*fields))
+    return df.select("*", F.inline(F.array(*rows)))
 
 
 def participation_cutoffs(
     population: DataFrame, action: CollectiveAction, runs: Sequence[Run], id_col: str = "ID"
-) -> DataFrame:
-    """The hash below which an eligible row takes part, one row per run that has participants."""
+) -> dict[int, str]:
+    """Per run the largest hash that still takes part; runs without participants are absent.
+
+    One job over the eligible IDs. The result is one string per run, so it goes into later plans as
+    literals and is not worked out again by each of them.
+    """
     candidates = with_runs(population.where(eligible(action)).select(id_col), runs)
     hashed = candidates.withColumn(HASH, seeded_hash(F.col("run_seed"), id_col))
-    return hash_cutoffs(
-        hashed.select("run_id", "frac", HASH), ["run_id"], truncated_share(F.col("frac")), carry=["frac"]
+    cutoffs = hash_cutoffs(
+        hashed.select("run_id", "frac", HASH), ["run_id"], truncated_share(F.col("frac")), carry=["frac"],
+        few_groups=True,
     )
+    return {row["run_id"]: row["cutoff"] for row in cutoffs.collect()}
 
 
 def apply_action_runs(
@@ -133,14 +141,12 @@ def apply_action_runs(
 ) -> DataFrame:
     """Every row once per run with run_id, frac, `aca_flag` and the run's changes.
 
-    Per run exactly int(n_eligible * frac) eligible rows take part. The one-row-per-run cutoffs are
-    broadcast (their number is checked in `with_runs`); the rows themselves are not shuffled.
+    Per run exactly int(n_eligible * frac) eligible rows take part: those whose hash does not exceed
+    the run's cutoff. The rows are neither joined nor shuffled.
     """
-    cutoffs = participation_cutoffs(df, action, runs, id_col)
-    rows = with_runs(df, runs)
-    joined = join_groups(rows, F.broadcast(cutoffs), ["run_id"], "left")
+    rows = with_runs(df, runs, participation_cutoffs(df, action, runs, id_col))
     own_hash = F.when(eligible(action), seeded_hash(F.col("run_seed"), id_col))
-    flagged = joined.withColumn("aca_flag", F.when(own_hash <= F.col("cutoff"), 1).otherwise(0))
+    flagged = rows.withColumn("aca_flag", F.when(own_hash <= F.col("cutoff"), 1).otherwise(0))
     return apply_attacks(flagged.drop("cutoff", "run_seed"), action)
 
 
@@ -166,4 +172,5 @@ def compare_ranking(
         F.col("uplift").alias("uplift_modified"),
         "aca_flag",
     )
-    return left.join(right, id_col, "inner")
+    # Spark does not count the repetition by run in its size estimate, so it must not pick a broadcast.
+    return left.join(right.hint("merge") if by else right, id_col, "inner")

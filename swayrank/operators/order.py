@@ -43,6 +43,17 @@ def split_points(df: DataFrame, key: str, slices: int | None = None) -> list[flo
     return sorted(set(df.approxQuantile(key, probabilities, 0.5 / slices)))
 
 
+def sort_key(score: str, sign: float) -> Column:
+    """Ascending sort key of a score; NaN counts as null."""
+    value = F.col(score).cast("double")
+    return F.when(~F.isnan(value), value * F.lit(sign))
+
+
+def score_points(df: DataFrame, score: str, slices: int | None = None) -> list[float]:
+    """Slice edges for descending `running_totals`, taken from rows that stand for the others."""
+    return split_points(df.select(sort_key(score, -1.0).alias(KEY)), KEY, slices)
+
+
 def even_points(low: float, high: float, slices: int) -> list[float]:
     """Equal-width edges, for keys known to be evenly spaced such as normalised ranks."""
     step = (high - low) / slices
@@ -78,8 +89,7 @@ def running_totals(
     """
     by, ties = list(by), list(ties)
     sign = -1.0 if descending else 1.0
-    value = F.col(score).cast("double")
-    keyed = df.withColumn(KEY, F.when(~F.isnan(value), value * F.lit(sign)))
+    keyed = df.withColumn(KEY, sort_key(score, sign))
     if points is None:
         points = split_points(keyed, KEY)
     cells = (
@@ -106,7 +116,8 @@ def running_totals(
         *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before_{c}") for c in names],
         *[F.sum(c).over(whole).alias(f"all_{c}") for c in names],
     )
-    placed = join_groups(local, offsets, [*by, SLICE])
+    # A left join can only ever broadcast the offsets, never the cells.
+    placed = join_groups(local, offsets, [*by, SLICE], "left")
     return placed.select(
         *by,
         (F.col(KEY) * F.lit(sign)).alias(score),
@@ -140,5 +151,5 @@ def ordered_index(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()
     starts = runs.select(
         *by, "_part", (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first")).alias("_start")
     )
-    numbered = join_groups(placed, starts, [*by, "_part"])
+    numbered = join_groups(placed, starts, [*by, "_part"], "left")
     return numbered.withColumn(out, F.col("_row") + F.col("_start")).drop("_row", "_start", "_part")

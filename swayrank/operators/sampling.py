@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from swayrank.functions.joins import join_groups
 
 HASH = "_hash"
-PREFIX_DIGITS = 4  # 65,536 prefixes: the one sorted slice holds about n / 65,536 rows
+PREFIX_DIGITS = 3  # 4,096 prefixes: the one sorted slice of a group holds about n / 4,096 rows
 SEED_RANGE = 10_000
 
 
@@ -27,12 +27,14 @@ def seeded_hash(seed: Column | int, id_col: str) -> Column:
 
 
 def hash_cutoffs(
-    rows: DataFrame, by: Sequence[str], quota: Callable[[Column], Column], carry: Sequence[str] = ()
+    rows: DataFrame, by: Sequence[str], quota: Callable[[Column], Column], carry: Sequence[str] = (),
+    few_groups: bool = False,
 ) -> DataFrame:
     """Per group the hash (`cutoff`) of the k-th smallest `_hash`; no row where k is 0.
 
     `quota` turns the group size into k. `carry` names columns that are constant within a group and
-    that `quota` refers to.
+    that `quota` refers to. `few_groups` says that the caller has checked the number of groups: the
+    one row per group is then broadcast, whatever size Spark expects the (unfolded) rows to have.
     """
     by, groups = list(by), [*by, *carry]
     prefix = F.substring(HASH, 1, PREFIX_DIGITS).alias("_prefix")
@@ -48,6 +50,7 @@ def hash_cutoffs(
     k = F.least(quota(F.col("_n")).cast("long"), F.col("_n"))
     below = F.col("_upto") - F.col("_in")
     edge = slices.where((below < k) & (k <= F.col("_upto"))).select(*by, "_prefix", (k - below).alias("_nth"))
+    edge = F.broadcast(edge) if few_groups else edge
     candidates = join_groups(rows.select(*by, HASH, prefix), edge, [*by, "_prefix"])
     place = F.row_number().over(Window.partitionBy(*by, "_prefix").orderBy(HASH))
     return (

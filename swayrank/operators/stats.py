@@ -149,7 +149,7 @@ def binned_counts(values: DataFrame, ranges: DataFrame, bins: int, by: Sequence[
     the wrong side. Bins without values are returned with count 0.
     """
     width = (F.col("_high") - F.col("_low")) / F.lit(float(bins))
-    placed = join_groups(values, ranges, by)
+    placed = join_groups(values, ranges, by, "left")
     guess = F.greatest(F.least(F.floor((F.col("value") - F.col("_low")) / width), F.lit(bins - 1)), F.lit(0))
     placed = placed.withColumn("_guess", guess)
     low_edge = F.col("_low") + F.col("_guess") * width

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from swayrank.functions.joins import attach_one_row, join_groups
 from swayrank.operators.action import CollectiveAction, Run
+from swayrank.operators.order import score_points
 from swayrank.operators.ranking import (
     attach_ranks,
     qini_auc,
@@ -59,7 +60,7 @@ def baseline_ranking(scored: DataFrame, trial: Trial) -> tuple[DataFrame, DataFr
     Every later step reads this table, so it is written once.
     """
     cells = qini_cells(scored, "uplift", trial.treatment, trial.target)
-    return freeze(attach_ranks(scored, cells, "uplift")), qini_auc_from_cells(cells)
+    return freeze(attach_ranks(scored, cells, "uplift"), spread=True), qini_auc_from_cells(cells)
 
 
 def rank_after_action(
@@ -73,7 +74,10 @@ def rank_after_action(
     kept = {f"_before_{c}": F.col(c) for c in [*action.attack_features, "uplift", "normalised_rank"]}
     carried = baseline.withColumns(kept).drop("uplift", "rank", "normalised_rank")
     rescored = rescore(carried, action, runs, trial.id_col)
-    cells = qini_cells(rescored, "uplift", trial.treatment, trial.target, by=RUN_KEYS)
+    # Runs differ in a few participants only, so one run's scores place the slice edges of all.
+    points = score_points(rescored.where(F.col("run_id") == runs[0].run_id), "uplift")
+    # Ranks and Qini both read the cells; written once, the rows of all runs are walked only twice.
+    cells = freeze(qini_cells(rescored, "uplift", trial.treatment, trial.target, by=RUN_KEYS, points=points))
     slim = rescored.select(*RUN_KEYS, trial.id_col, "uplift", "aca_flag", *kept)
     ranked = attach_ranks(slim, cells, "uplift", RUN_KEYS)
     comparison = ranked.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +38,21 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder once and go on from there.
+def freeze(df: DataFrame, spread: bool = False) -> DataFrame:
+    """Write `df` to the shared folder once and go on from the written table.
 
-    Needed where a value depends on how rows happened to be partitioned: after this, losing an
-    executor rereads the written rows instead of partitioning them again.
+    Used where a value depends on how rows happened to be partitioned, and where several later jobs
+    read the same rows. After this, losing an executor rereads the table instead of computing it
+    again; readers get pruned columns, and joins see its true size.
+
+    With `spread`, a table too small to occupy all cores is dealt out to them: its rows are about to
+    be multiplied (by runs, trees or background rows). Larger tables are read as they are.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores)
+    return table

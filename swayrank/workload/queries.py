@@ -476,7 +476,7 @@ def prepared(spark, sf_dir) -> Prepared:
 
 def _frozen(spark, sf_dir) -> Prepared:
     sides = prepared(spark, sf_dir)
-    return Prepared(freeze(sides.train), freeze(sides.test), sides.features)
+    return Prepared(freeze(sides.train, spread=True), freeze(sides.test, spread=True), sides.features)
 
 
 def _fitted(spark, sf_dir, name):
