@@ -281,6 +281,9 @@ ORACLE["apply_action"] = with_scored(
     f"SELECT ID, CAST(recency AS DOUBLE) AS recency, {r6('history', 'history')}, CAST(newbie AS DOUBLE) AS newbie, "
     "aca_flag FROM changed", recency_action())
 
+ORACLE["participants"] = with_scored(
+    f"SELECT ID, {r6('history', 'history')}, aca_flag FROM changed WHERE aca_flag = 1", history_action())
+
 # ---- ranking ----
 
 ORACLE["dense_rank"] = with_scored("SELECT ID, uplift, dense_rank() OVER (ORDER BY uplift DESC) AS rank FROM scored")

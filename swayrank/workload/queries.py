@@ -226,6 +226,11 @@ def apply_action(spark, sf_dir):
     return rounded(act.apply_action(rows, RECENCY_ACTION))
 
 
+@query
+def participants(spark, sf_dir):
+    return rounded(sts.participants(act.apply_action(campaign(spark, sf_dir).select("ID", "history"), HISTORY_ACTION)))
+
+
 # ---- ranking ----
 
 @query
