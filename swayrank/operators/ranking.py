@@ -131,6 +131,8 @@ def uplift_curve(
     A node falls into exactly one cell, and rows inside a cell are alike, so the running totals at
     the node follow from the cell alone. Each cell works out its own nodes; nothing is joined.
     """
+    if n_nodes is not None and n_nodes < 2:
+        raise ValueError("a curve needs at least its two ends")
     cells = response_cells(df, score, treatment, target, by)
     total = F.col("all_n")
     nodes = F.lit(n_nodes).cast("long") if n_nodes else F.least(total + 1, F.lit(CURVE_NODES).cast("long"))

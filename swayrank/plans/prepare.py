@@ -26,8 +26,9 @@ def prepare_promotion(
     train: DataFrame, test: DataFrame, treatment_col: str = "Promotion", treated: str = "Yes",
     target: str = "purchase", feature_prefix: str = "V",
 ) -> Prepared:
-    """Trial with separate train and test files and anonymous features."""
+    """Trial with separate train and test files and anonymous features; IDs are checked once."""
     def ready(df: DataFrame) -> DataFrame:
+        prep.check_unique_id(df)
         return prep.class_transform_label(prep.binarize_treatment(df, treatment_col, treated), target=target)
 
     return Prepared(ready(train), ready(test), prep.feature_columns(train, prefix=feature_prefix))
@@ -41,10 +42,12 @@ def prepare_email(
 ) -> Prepared:
     """One trial table: drop an arm, number, encode, label, and split by treatment arm.
 
-    Rows that have no ID are numbered in `order_cols` order.
+    Rows that have no ID are numbered in `order_cols` order; given IDs are checked once.
     """
     kept = prep.exclude_arm(df, treatment_col, excluded)
-    if "ID" not in kept.columns:
+    if "ID" in kept.columns:
+        prep.check_unique_id(kept)
+    else:
         kept = prep.assign_id(kept, order_cols or sorted(kept.columns))
     coded = prep.one_hot(prep.map_ordinal(kept, band_col, bands, band_default), list(encoded))
     flagged = prep.map_treatment(coded, treatment_col, arms)

@@ -80,3 +80,5 @@ def test_promotion_trial(spark):
     ready = prepare_promotion(df, df)
     assert ready.features == ["V1", "V2"]
     assert values(ready.train, "label") == [1, 0]
+    with pytest.raises(ValueError, match="not unique"):
+        prepare_promotion(df.unionByName(df), df)

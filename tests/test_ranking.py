@@ -33,6 +33,8 @@ def test_curve_and_qini_equal_walking_all_rows(spark, seed, scores, n):
 def test_given_number_of_nodes(spark):
     rows = random_rows(120, 30, 1)
     assert_curve(curve(trial(spark, rows), n_nodes=11), curve_by_walking(rows, 11))
+    with pytest.raises(ValueError, match="two ends"):
+        rank.uplift_curve(trial(spark, rows), n_nodes=1)
 
 
 def test_qini_ignores_increasing_transforms_and_is_one_for_the_best_score(spark):
