@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from swayrank.llm.packing import pack_documents
 from swayrank.llm.simhash import near_duplicates
 from swayrank.llm.substrings import remove_repeats
+from swayrank.llm.tokens import count_tokens
+
+VOCABULARY = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,3 +43,15 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document, linked at 4 or fewer differing bits."""
     return near_duplicates(table(spark, folder, "documents"), shingle=4, max_bits=4)
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return count_tokens(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as pieces packed into sequences of 1024 tokens."""
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
