@@ -7,12 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from swayrank.llm import oracle
+from swayrank.llm.ann import nearest
+from swayrank.llm.mixing import mix
 from swayrank.llm.packing import pack_documents
+from swayrank.llm.quality import line_first
+from swayrank.llm.sharding import place
 from swayrank.llm.simhash import near_duplicates
 from swayrank.llm.substrings import remove_repeats
 from swayrank.llm.tokens import count_tokens
 
 VOCABULARY = "byte_bpe_50k.json"
+SHARDS = [f"shard-{i:03d}" for i in range(128)]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +38,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op2_source_mix", oracle.mixing())
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """What a mix of 150 % of all words takes of every document, sources weighing 3, 1, 2 in turn."""
+    return mix(table(spark, folder, "documents"))
+
+
+@query("op3_line_quality", oracle.quality())
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures and verdict of line-first cleaning for every document."""
+    return line_first(table(spark, folder, "documents").select("doc_id", "text")).drop("text", "cleaned")
+
+
+@query("op4_shard_placement")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """The slot and shard of every document, for 128 shards in 65,537 slots."""
+    return place(table(spark, folder, "documents").select("doc_id", "source"), "doc_id", SHARDS)
+
+
 @query("op6_substring_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of 50 words that repeat a document with a smaller id, removed from all documents."""
@@ -55,3 +79,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as pieces packed into sequences of 1024 tokens."""
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query("op1_collision_search")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest of all vectors for every vector whose id is divisible by 100."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors.filter("vec_id % 100 = 0"), vectors)

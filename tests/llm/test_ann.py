@@ -1,0 +1,76 @@
+import math
+import random
+
+import numpy as np
+import pytest
+
+from swayrank.llm.ann import nearest
+
+SCHEMA = "vec_id long, embedding array<float>"
+
+
+def plain(rows, queries, k=10):
+    good = [(i, np.array(v, np.float32).astype(np.float64)) for i, v in rows]
+    out = {}
+    for q, v in queries:
+        v = np.array(v, np.float32).astype(np.float64)
+        near = sorted((float(np.sqrt(((v - x) ** 2).sum())), i) for i, x in good if i != q and len(x) == len(v))
+        out[q] = near[:k]
+    return out
+
+
+def vectors(seed, count, dimension=32):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((10, dimension))
+    rows = []
+    for i in range(count):
+        v = centres[rng.integers(10)] * (0.3 if i % 2 else 1) + rng.standard_normal(dimension) * rng.choice([0.05, 1.0])
+        rows.append((i, (v / np.linalg.norm(v)).tolist()))
+    return rows
+
+
+@pytest.mark.parametrize("blocks", [{}, {"vector_block": 300, "query_block": 7}])
+def test_recall_against_all_distances(spark, blocks):
+    rows = vectors(1, 2000)
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = nearest(df.filter("vec_id % 100 = 0"), df, **blocks).collect()
+    expected = plain(rows, [r for r in rows if r[0] % 100 == 0])
+    hits = sum(len({r.vec_id for r in found if r.query_id == q} & {i for _, i in near}) for q, near in expected.items())
+    assert hits >= 0.95 * 10 * len(expected)
+    exact = {i: np.array(v, np.float32).astype(np.float64) for i, v in rows}
+    for q in expected:
+        mine = sorted((r.rank, r.score, r.vec_id) for r in found if r.query_id == q)
+        assert [m[0] for m in mine] == list(range(1, 11))
+        assert [m[1:] for m in mine] == sorted(m[1:] for m in mine)
+        for _, score, i in mine:
+            assert score == pytest.approx(np.linalg.norm(exact[q] - exact[i]), abs=1e-12)
+
+
+def test_all_candidates_if_fewer_and_ties_by_id(spark):
+    rows = [(7, [1.0, 0.0]), (3, [1.0, 0.0]), (5, [0.0, 1.0]), (0, [1.0, 0.0]), (9, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = [tuple(r)[1:3] for r in sorted(nearest(df.filter("vec_id = 0"), df).collect(), key=lambda r: r.rank)]
+    assert found == [(1, 3), (2, 7), (3, 9), (4, 5)]
+
+
+def test_edge_cases(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (0, [1.0, 2.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]),
+        (None, [1.0, 2.0]), (8, [1.0, 2.5]), (8, [1.0, 2.5]), (9, [1.0, 2.0, 3.0]), (100, [9.0]),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as dim", "2 as v", "3 as rank", "4 as vb")
+    found = [tuple(r) for r in nearest(df, df).collect()]
+    assert sorted(found) == [(0, 1, 8, 0.5), (8, 1, 0, 0.5)]
+    assert nearest(df, df.limit(0)).collect() == [] and nearest(df.limit(0), df).collect() == []
+
+
+def test_one_vector_held_by_most_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, [0.5] * 8 if i % 3 else [rng.gauss(0, 1) for _ in range(8)]) for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = nearest(df.filter("vec_id in (100, 200)"), df, vector_block=250).collect()
+    for q in (100, 200):
+        mine = [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank) if r.query_id == q]
+        assert mine == [(i, 0.0) for i, v in rows if v == [0.5] * 8 and i != q][:10]
+    assert not any(math.isnan(r.score) for r in found)
