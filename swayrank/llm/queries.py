@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from swayrank.llm import oracle
 from swayrank.llm.ann import nearest
+from swayrank.llm.licenses import scan_licenses
 from swayrank.llm.mixing import mix
 from swayrank.llm.packing import pack_documents
 from swayrank.llm.quality import line_first
@@ -16,6 +17,7 @@ from swayrank.llm.sharding import place
 from swayrank.llm.simhash import near_duplicates
 from swayrank.llm.substrings import remove_repeats
 from swayrank.llm.tokens import count_tokens
+from swayrank.llm.warc import archive_pages
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
@@ -86,3 +88,17 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 nearest of all vectors for every vector whose id is divisible by 100."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return nearest(vectors.filter("vec_id % 100 = 0"), vectors)
+
+
+@query("op8_license_templates")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and wordings in every document."""
+    return scan_licenses(table(spark, folder, "documents")).drop("matches")
+
+
+@query("op10_arc_to_warc", oracle.warc())
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to ARC, converted to WARC and read back."""
+    return archive_pages(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
