@@ -122,7 +122,7 @@ def nearest(
     not finite, take no part. A repeated query row counts once, a repeated vector row once for each
     (id, vector). Other columns are ignored. An empty table on either side gives no rows.
     """
-    base = freeze(usable(vectors, vec_id, embedding).distinct())
+    base = freeze(usable(vectors, vec_id, embedding))
     asked = usable(queries, vec_id, embedding).dropDuplicates(["vec_id"])
     asked = freeze(asked.select(F.col("vec_id").alias("query_id"), "v", "dim"))
     block_count = lambda df, size: max(1, -(-df.count() // size))
@@ -139,6 +139,8 @@ def nearest(
         columns = ["query_id", "vec_id", "score"]
         if not len(block) or not len(batch):
             return pd.DataFrame({c: np.empty(0, "int64" if c != "score" else "float64") for c in columns})
+        if block["vec_id"].duplicated().any():  # rows with one id are always in one block
+            block = block[~block.assign(v=block["v"].map(lambda v: v.tobytes())).duplicated()]
         ids = block["vec_id"].to_numpy(np.int64)
         index = SortedProjections(np.stack(block["v"].to_numpy()).astype(np.float64), projections, half_width, seed)
         made = []

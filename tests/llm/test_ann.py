@@ -62,6 +62,9 @@ def test_edge_cases(spark):
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as dim", "2 as v", "3 as rank", "4 as vb")
     found = [tuple(r) for r in nearest(df, df).collect()]
     assert sorted(found) == [(0, 1, 8, 0.5), (8, 1, 0, 0.5)]
+    twice = spark.createDataFrame([(0, [1.0, 2.0]), (8, [1.0, 2.5]), (8, [1.0, 2.5]), (8, [1.0, 3.0])], SCHEMA)
+    found = [tuple(r) for r in nearest(twice.filter("vec_id = 0"), twice).collect()]
+    assert sorted(found) == [(0, 1, 8, 0.5), (0, 2, 8, 1.0)]
     assert nearest(df, df.limit(0)).collect() == [] and nearest(df.limit(0), df).collect() == []
 
 
