@@ -90,3 +90,22 @@ f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM f"""
+
+
+def substrings(table: str = "documents", window: int = 50) -> str:
+    return f"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS words FROM {table}),
+places AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts),
+starts AS (
+  SELECT doc_id, pos, CASE WHEN pos + {window - 1} <= len(words) THEN md5(array_to_string(words[pos : pos + {window - 1}], ' ')) END AS key
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM texts)),
+firsts AS (SELECT key, min(doc_id) AS first_id FROM starts WHERE key IS NOT NULL GROUP BY key),
+flagged AS (SELECT s.doc_id, s.pos, CASE WHEN f.first_id < s.doc_id THEN 1 ELSE 0 END AS again FROM starts s LEFT JOIN firsts f ON s.key = f.key),
+covered AS (
+  SELECT doc_id, pos, max(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS gone
+  FROM flagged),
+kept AS (
+  SELECT p.doc_id, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE gone = 0), '') AS rest
+  FROM places p JOIN covered c ON p.doc_id = c.doc_id AND p.pos = c.pos GROUP BY p.doc_id)
+SELECT t.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id"""

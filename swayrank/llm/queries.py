@@ -58,7 +58,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return place(table(spark, folder, "documents").select("doc_id", "source"), "doc_id", SHARDS)
 
 
-@query("op6_substring_dedup")
+@query("op6_substring_dedup", oracle.substrings())
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of 50 words that repeat a document with a smaller id, removed from all documents."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
