@@ -76,16 +76,18 @@ def mix(
     share a key; repeated rows are rows like others, and ones with equal id, size and source swap freely.
     Empty texts take nothing; an empty table gives no rows.
     """
-    sized = docs.select(
+    measured = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         word_count().alias("size"), hash_key("doc_id", seed).alias("key"),
         *[F.col(c).alias(f"carry_{c}") for c in carry],
     )
-    sized = freeze(sized)
+    sized = freeze(measured.select("doc_id", "source", "size", "key"))
     digits = max(0, ceil(log(max(1, sized.count() / range_rows), 16)))
-    sliced = sized.withColumn("slice", F.substring("key", 1, digits))
+    key_range = F.substring("key", 1, digits).alias("slice")
+    # Carried columns may be large: they are read again rather than written with the sizes.
+    sliced = (measured if carry else sized).select("*", key_range)
     targets = source_targets(sized.select("source", "size"), weights, share, max_epochs)
-    ranges = sliced.groupBy("source", "slice").agg(F.sum("size").alias("in_range"))
+    ranges = sized.select("*", key_range).groupBy("source", "slice").agg(F.sum("size").alias("in_range"))
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.select("source", "slice", F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("start"))
     places = freeze(join_groups(starts, targets, ["source"]))

@@ -201,8 +201,15 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their component, one row each; rows with a null id stay."""
-    found = near_duplicates(docs, shingle, max_bits)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter("doc_id is null"))
+    """The rows of `docs` whose id is the smallest of their component, one row each; rows with a null id stay.
+
+    Only ids decide, so texts are not moved when few documents go: the ids that go, and those of repeated rows, are
+    written first, and Spark sees their true size.
+    """
+    found = freeze(near_duplicates(docs, shingle, max_bits).select("doc_id", "component_id"))
+    gone = freeze(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    repeated = freeze(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
+    kept = docs.join(gone, "doc_id", "left_anti")
+    once = kept.join(repeated, "doc_id", "left_anti")
+    first = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(first)
