@@ -6,12 +6,13 @@ so texts are handled as UTF-8 bytes inside tasks.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 CACHED_WORDS = 400_000  # hashes kept per Python worker, about 60 MB
@@ -87,6 +88,14 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return level
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it, if it is not installed."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def map_frames(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
     """Apply `function` to batches of rows inside the scan's own tasks; nothing moves between tasks."""
 
