@@ -2,7 +2,7 @@
 
 A space between two characters that are not white space always starts a new pre-token, so a text can be cut
 there and each unit (with its leading space) handled on its own. Units repeat a lot; each Python worker keeps
-the answers for up to `CACHED_UNITS` of them and forgets all when full.
+the answers for those seen last, up to twice `CACHED_UNITS`.
 """
 
 from __future__ import annotations
@@ -11,15 +11,19 @@ import heapq
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable
 
-import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 CACHED_UNITS = 500_000
+MARKS = ".,!?;:"
 MAX_VOCABULARY_BYTES = 64 << 20
 
+assert sys.byteorder == "little" and array("I").itemsize == 4  # ids are little-endian unsigned 32-bit numbers
+
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -40,69 +44,117 @@ def load_vocabulary(spark: SparkSession, path: str) -> Broadcast:
 
 
 class Cache(dict):
-    """Answers by unit; clears itself once `CACHED_UNITS` are held. Uneven units are refused, never held."""
+    """Answers for units, by the unit without the space before it, in two generations.
+
+    Once `CACHED_UNITS` are held they become the older generation, and the older one before them is forgotten.
+    What is used again moves up. Uneven units are refused, never held.
+    """
 
     def __init__(self, answer: Callable[[str], object]):
         super().__init__()
         self.answer = answer
+        self.older: dict[str, object] = {}
 
     def __missing__(self, unit: str):
-        if not unit or unit[-1].isspace() or unit[0] == " " and unit[1].isspace():
+        if not unit or unit[0].isspace() or unit[-1].isspace():
             raise Uneven
+        value = self.older.get(unit)
+        if value is None:
+            value = self.answer(" " + unit)
         if len(self) >= CACHED_UNITS:
+            self.older = dict(self)
             self.clear()
-        value = self[unit] = self.answer(unit)
+        self[unit] = value
         return value
 
     def of_text(self, text: str) -> list:
         """The answers for a text's units. Most texts can be cut at every space."""
         first, *rest = text.split(" ")
-        try:
-            return list(map(self.__getitem__, [first, *[" " + u for u in rest]]))
-        except Uneven:
-            first, *rest = _CUT.split(text)
-        made = []
-        for unit in (first, *[" " + u for u in rest]):
+        if first and not (rest and first[-1].isspace()):
             try:
-                made.append(self[unit])
+                return [self.answer(first), *map(self.__getitem__, rest)]
             except Uneven:
-                made.append(self.answer(unit))
+                pass
+        first, *rest = _CUT.split(text)
+        made = [self.answer(first)]
+        for unit in rest:
+            try:
+                made.append(self[unit])
+            except Uneven:  # the last unit may end with white space
+                made.append(self.answer(" " + unit))
         return made
 
 
-def merge_count(symbols: str, ranks: dict[tuple[str, str], int]) -> int:
-    """How many tokens byte-pair merging leaves of `symbols`.
-
-    A heap holds adjacent pairs by rank, then place; a doubly linked list joins the symbols that are left.
-    The lowest pair is popped again and again; entries whose symbols have changed since are skipped. The
-    count is the number of initial symbols less the number of merges.
+SYMBOL_BITS, PLACE_BITS = 24, 40
+
+
+class Merges:
+    """The merge rules of a vocabulary, with symbols as small numbers."""
+
+    def __init__(self, merges: list[tuple[str, str]]):
+        self.numbers: dict[str, int] = {}
+        number = lambda symbol: self.numbers.setdefault(symbol, len(self.numbers))
+        self.ranks: dict[int, int] = {}
+        self.merged: list[int] = []
+        for rank, (left, right) in enumerate(merges):
+            self.ranks.setdefault(number(left) << SYMBOL_BITS | number(right), rank)
+            self.merged.append(number(left + right))
+
+    def count(self, symbols: str) -> int:
+        """How many tokens byte-pair merging leaves of `symbols`.
+
+        A heap holds the rank and place of adjacent pairs; a doubly linked list joins the symbols that are left.
+        The lowest rank is popped again and again, the leftmost first; a place whose pair has changed since is
+        skipped. The count is the number of initial symbols less the number of merges.
+        """
+        size, ranks, merged = len(symbols), self.ranks, self.merged
+        symbol = [self.numbers.get(s, -1) for s in symbols]
+        heap = []
+        for i in range(size - 1):
+            rank = ranks.get(symbol[i] << SYMBOL_BITS | symbol[i + 1])
+            if rank is not None:
+                heap.append(rank << PLACE_BITS | i)
+        if not heap:
+            return size
+        heapq.heapify(heap)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        mask, merges = (1 << PLACE_BITS) - 1, 0
+        while heap:
+            lowest = heapq.heappop(heap)
+            i, rank = lowest & mask, lowest >> PLACE_BITS
+            j, left = after[i], symbol[i]
+            if left < 0 or j >= size or ranks.get(left << SYMBOL_BITS | symbol[j]) != rank:
+                continue
+            merges += 1
+            made = symbol[i] = merged[rank]
+            symbol[j] = -1
+            after[i] = k = after[j]
+            if k < size:
+                before[k] = i
+                rank = ranks.get(made << SYMBOL_BITS | symbol[k])
+                if rank is not None:
+                    heapq.heappush(heap, rank << PLACE_BITS | i)
+            h = before[i]
+            if h >= 0:
+                rank = ranks.get(symbol[h] << SYMBOL_BITS | made)
+                if rank is not None:
+                    heapq.heappush(heap, rank << PLACE_BITS | h)
+        return size - merges
+
+
+def byte_symbols() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies.
+
+    Printable bytes stand for themselves; the others take the code points from 256 on, in order.
     """
-    size = len(symbols)
-    symbol = list(symbols)
-    after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-    heap = [
-        (rank, i, symbols[i], symbols[i + 1])
-        for i in range(size - 1)
-        if (rank := ranks.get((symbols[i], symbols[i + 1]))) is not None
-    ]
-    heapq.heapify(heap)
-    merges = 0
-    while heap:
-        _, i, left, right = heapq.heappop(heap)
-        j = after[i]
-        if symbol[i] != left or j >= size or symbol[j] != right:
-            continue
-        merges += 1
-        merged = symbol[i] = left + right
-        symbol[j] = None
-        after[i] = k = after[j]
-        if k < size:
-            before[k] = i
-            if (rank := ranks.get((merged, symbol[k]))) is not None:
-                heapq.heappush(heap, (rank, i, merged, symbol[k]))
-        if (h := before[i]) >= 0 and (rank := ranks.get((symbol[h], merged))) is not None:
-            heapq.heappush(heap, (rank, h, symbol[h], merged))
-    return size - merges
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+def is_plain_word(word: str) -> bool:
+    """Whether a word is nothing but Latin letters, and so a single pre-token."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
 class Vocabulary:
@@ -118,10 +170,12 @@ class Vocabulary:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         model = json.loads(content)
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
-        self.ranks = {(a, b): rank for rank, (a, b) in enumerate(merges)}
+        self.merges = Merges([tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]])
+        self.model = self.tokenizer.model
         added = [t["content"] for t in model.get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self.symbols = byte_symbols()
+        self.marks = {mark: self._encode(mark) for mark in MARKS}
         self.counts, self.encoded = Cache(self._count), Cache(self._ids)
 
     @classmethod
@@ -134,17 +188,33 @@ class Vocabulary:
         return cls._held[key]
 
     def _count(self, unit: str) -> int:
+        word = unit[1:] if unit[0] == " " else unit
+        if is_plain_word(word):
+            return self.merges.count(self._spell(unit))
+        if unit[-1] in MARKS and is_plain_word(word[:-1]):
+            return (self.counts[word[:-1]] if unit[0] == " " else self._count(unit[:-1])) + 1
         parts, total = [unit], 0
         if self.added is not None and self.added.search(unit):
             total, parts = len(self.added.findall(unit)), self.added.split(unit)
         for part in parts:
             if part:
                 for symbols, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part):
-                    total += merge_count(symbols, self.ranks)
+                    total += self.merges.count(symbols)
         return total
 
+    def _spell(self, unit: str) -> str:
+        """The symbols of a unit that is a single pre-token."""
+        return unit.encode().decode("latin-1").translate(self.symbols)
+
     def _ids(self, unit: str) -> bytes:
-        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+        if is_plain_word(unit[1:] if unit[0] == " " else unit):
+            return array("I", [t.id for t in self.model.tokenize(self._spell(unit))]).tobytes()
+        if unit[0] == " " and unit[-1] in MARKS and is_plain_word(unit[1:-1]):
+            return self.encoded[unit[1:-1]] + self.marks[unit[-1]]
+        return self._encode(unit)
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; 0 for null and empty."""
