@@ -39,8 +39,8 @@ class Rules:
 
 
 _MARK = re.compile(r"[.!?:;…。！？؟।]")
-_NOISY = re.compile(rb"[^ \t-\r]*(?:[#*$%&|<>]{2}|[!?]{2})[^ \t-\r]*")
-_SEPARATOR = re.compile(rb"(?<![^ \t-\r])(?:[|>/]|\xc2\xbb|\xe2\x80\xa2|\xc2\xb7)(?![^ \t-\r])")
+_NOISE = re.compile(rb"[#*$%&|<>]{2}|[!?]{2}")
+_SEPARATORS = {mark.encode() for mark in "|>/»•·"}
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)), re.I | re.A)
 _NAVIGATION = re.compile("|".join(map(re.escape, NAVIGATION)), re.I | re.A)
 
@@ -56,10 +56,13 @@ def line_fails(line: str, rules: Rules) -> bool:
     if not words:
         return False
     count = len(words)
-    if not _MARK.search(line) or 100 * len(_NOISY.findall(raw)) > rules.noisy_percent * count:
+    if not _MARK.search(line):
         return True
-    if 100 * len(_SEPARATOR.findall(raw)) >= rules.separator_percent * count:
+    if _NOISE.search(raw) and 100 * sum(_NOISE.search(w) is not None for w in words) > rules.noisy_percent * count:
         return True
+    if not _SEPARATORS.isdisjoint(words):
+        if 100 * sum(w in _SEPARATORS for w in words) >= rules.separator_percent * count:
+            return True
     if count <= rules.boilerplate_words and _BOILERPLATE.search(line):
         return True
     return count <= 4 and _NAVIGATION.fullmatch(line.strip(" \t\n\r\x0b\x0c.!?:;")) is not None
@@ -70,7 +73,10 @@ def repeated_words(words: list[bytes]) -> int:
     if len(words) < 4:
         return 0
     number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    for word in words:
+        if word not in number:
+            number[word] = len(number)
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
     pairs = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1]
     triples = pairs[:-1] * len(number) + ids[2:]
     _, inverse, counts = np.unique(triples, return_inverse=True, return_counts=True)
