@@ -22,7 +22,7 @@ from swayrank.session import freeze
 MAX_TOKENS = 1024
 END_ID = 2
 OPEN_BINS = 1024
-TASK_TOKENS = 64_000_000
+TASK_TOKENS = 256_000_000
 LOCAL_BITS = 33  # sequence numbers of one task
 
 
