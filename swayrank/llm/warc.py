@@ -37,6 +37,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ARC_END, WARC_END = "\n", "\r\n\r\n"
 MIN_SHARED_BYTES = 100
 FLUSH_CHARS = 4_000_000
+FILE_RECORDS = 10_000  # files also end with their task's input
 _SPACE = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -61,8 +62,9 @@ def _new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def _write(records: DataFrame, path: str, end: str) -> str:
-    records.write.option("lineSep", end).option("compression", "gzip").text(path)
+def _write(records: DataFrame, path: str, end: str, file_records: int) -> str:
+    writer = records.write.option("lineSep", end).option("compression", "gzip")
+    writer.option("maxRecordsPerFile", file_records).text(path)
     return path
 
 
@@ -90,9 +92,9 @@ def _version_block(name: str, version: int, date: str) -> str:
 
 def write_arc(
     pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2), date: str = "20000101000000",
-    page_id: str = "page_id", url: str = "url", html: str = "html",
+    page_id: str = "page_id", url: str = "url", html: str = "html", file_records: int = FILE_RECORDS,
 ) -> str:
-    """Write a gzip ARC file per task, versions in turn by task; returns `path`.
+    """Write gzip ARC files of up to `file_records` records, versions in turn by task; returns `path`.
 
     The block of a record is an HTTP response whose body is the html in UTF-8 (null: empty) and whose headers
     have the page id, if there is one.
@@ -100,12 +102,17 @@ def write_arc(
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
-        version, name = versions[task % len(versions)], f"pages-{task:05d}.arc.gz"
+        version = versions[task % len(versions)]
 
         def records() -> Iterator[str]:
-            yield _version_block(name, version, date)
+            written = 0
             for frame in frames:
                 for page, address, text in zip(nullable_ids(frame["page_id"]), frame["url"], frame["html"]):
+                    if written % file_records == 0:  # the writer begins a file here
+                        name = f"pages-{task:05d}-{written // file_records:05d}.arc.gz"
+                        yield _version_block(name, version, date)
+                        written += 1
+                    written += 1
                     body = utf8(text)
                     known = "" if pd.isna(page) else f"X-Page-Id: {page}\r\n"
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(body)}\r\n{known}\r\n"
@@ -120,7 +127,7 @@ def write_arc(
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html")
     )
-    return _write(rows.mapInPandas(each, "value string"), path, ARC_END)
+    return _write(rows.mapInPandas(each, "value string"), path, ARC_END, file_records)
 
 
 def _read_exactly(stream, length: int, what: str) -> bytes:
@@ -257,7 +264,10 @@ def arc_index(spark: SparkSession, arc_path: str) -> DataFrame:
     return _files(spark, arc_path).mapInPandas(each, "path string, ordinal long, page_id long, n_bytes long, digest binary")
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, min_shared_bytes: int = MIN_SHARED_BYTES) -> str:
+def convert(
+    spark: SparkSession, arc_path: str, warc_path: str, min_shared_bytes: int = MIN_SHARED_BYTES,
+    file_records: int = FILE_RECORDS,
+) -> str:
     """Convert all ARC files below `arc_path`; returns `warc_path`.
 
     Of HTTP records with equal payloads of at least `min_shared_bytes`, the one with the smallest page id (then by
@@ -282,7 +292,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_shared_bytes
                 yield from _in_frames(_converted(path, content, known))
 
     files = _files(spark, arc_path).join(revisits, "path", "left")
-    return _write(files.mapInPandas(each, "value string"), warc_path, WARC_END)
+    return _write(files.mapInPandas(each, "value string"), warc_path, WARC_END, file_records)
 
 
 # ---- WARC ----
@@ -352,7 +362,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def archive_pages(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
+def archive_pages(
+    pages: DataFrame, folder: str | None = None, versions: tuple[int, ...] = (1, 2), file_records: int = FILE_RECORDS
+) -> DataFrame:
     """Write `pages` as ARC files, convert them to WARC, and return what `read_warc` finds there.
 
     A null html is an empty payload; null ids and urls are left out of the headers and come back null (urls are
@@ -361,5 +373,6 @@ def archive_pages(pages: DataFrame, folder: str | None = None, **options) -> Dat
     than page_id, url and html are ignored; an empty table gives archives without records.
     """
     spark = pages.sparkSession
-    arc = write_arc(pages, f"{folder}/arc" if folder else _new_folder(spark, "arc"), **options)
-    return read_warc(spark, convert(spark, arc, f"{folder}/warc" if folder else _new_folder(spark, "warc")))
+    arc = write_arc(pages, f"{folder}/arc" if folder else _new_folder(spark, "arc"), versions, file_records=file_records)
+    warc = f"{folder}/warc" if folder else _new_folder(spark, "warc")
+    return read_warc(spark, convert(spark, arc, warc, file_records=file_records))

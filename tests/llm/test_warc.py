@@ -25,10 +25,10 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("versions,parts", [((1,), 1), ((2,), 3), ((1, 2), 5)])
-def test_round_trip(spark, versions, parts):
+@pytest.mark.parametrize("versions,parts,file_records", [((1,), 1, 3), ((2,), 3, 2), ((1, 2), 5, 10_000)])
+def test_round_trip(spark, versions, parts, file_records):
     df = spark.createDataFrame(ROWS, SCHEMA).repartition(parts).selectExpr("*", "1 as path", "2 as digest", "'x' as payload")
-    found = warc.archive_pages(df, versions=versions).collect()
+    found = warc.archive_pages(df, versions=versions, file_records=file_records).collect()
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest) for r in found), key=str)
     assert got == sorted((e[:3] for e in expected(ROWS)), key=str)
     firsts = {(p, d): f for p, _, d, f in expected(ROWS)}
