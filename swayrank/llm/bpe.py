@@ -14,11 +14,12 @@ import re
 import sys
 from array import array
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-CACHED_UNITS = 500_000
+CACHED_UNITS = 250_000
 MARKS = ".,!?;:"
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -170,7 +171,7 @@ class Vocabulary:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         model = json.loads(content)
-        self.merges = Merges([tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]])
+        self.rules = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
         self.model = self.tokenizer.model
         added = [t["content"] for t in model.get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
@@ -187,6 +188,10 @@ class Vocabulary:
             cls._held[key] = cls(content)
         return cls._held[key]
 
+    @cached_property
+    def merges(self) -> Merges:
+        return Merges(self.rules)
+
     def _count(self, unit: str) -> int:
         word = unit[1:] if unit[0] == " " else unit
         if is_plain_word(word):

@@ -133,5 +133,7 @@ def line_first(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     def judged(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([judge(t, rules) for t in text], columns=NAMES)
 
-    made = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), judged("text").alias("made"))
+    # Declared nondeterministic, or a filter on the verdict would judge every text a second time.
+    verdict = judged.asNondeterministic()("text")
+    made = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), verdict.alias("made"))
     return made.select(*[F.col(f"row.`{c}`") for c in rest], *[F.col(f"made.{n}") for n in NAMES])

@@ -18,7 +18,7 @@ from swayrank.llm.simhash import near_duplicates
 from swayrank.llm.substrings import remove_repeats
 from swayrank.llm.tokens import count_tokens
 from swayrank.llm.warc import archive_pages
-from swayrank.llm.words import share_package
+from swayrank.llm.words import prepare_session
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    share_package(spark)
+    prepare_session(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

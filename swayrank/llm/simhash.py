@@ -118,22 +118,26 @@ def _links_in_order(max_bits: int):
     """Over rows sorted by (choice, key): verifies meeting by meeting; one meeting at most waits for the next batch."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: np.ndarray | None = None
+        rest, held, size = None, [], 0
 
         def links(rows: np.ndarray) -> pd.DataFrame | None:
             a, b = _spanning(rows[1], rows[0], rows[2].view(np.uint64), max_bits)
             return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}) if len(a) else None
 
         for frame in frames:
-            rows = np.ascontiguousarray(frame[["choice", "key", "fp"]].to_numpy(np.int64).T)
-            if rest is not None:
-                rows = np.concatenate((rest, rows), axis=1)
+            held.append(frame[["choice", "key", "fp"]].to_numpy(np.int64).T)
+            size += len(frame)
+            if size < CHUNK:
+                continue
+            rows = np.concatenate(held if rest is None else [rest, *held], axis=1)
+            held, size = [], 0
             last = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))
             cut = last[-1] + 1 if len(last) else 0
             rest = np.ascontiguousarray(rows[:, cut:])
             if cut and (made := links(np.ascontiguousarray(rows[:, :cut]))) is not None:
                 yield made
-        if rest is not None and rest.shape[1] and (made := links(rest)) is not None:
+        last = [x for x in (rest, *held) if x is not None]
+        if last and (made := links(np.ascontiguousarray(np.concatenate(last, axis=1)))) is not None:
             yield made
 
     return each

@@ -15,7 +15,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-CACHED_WORDS = 400_000  # hashes kept per Python worker, about 60 MB
+BATCH_ROWS = 2_000  # of texts in one Arrow batch; Spark's default suits short rows
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+CACHED_WORDS = 150_000  # hashes kept per Python worker, about 30 MB
 
 
 def utf8(text: str | None) -> bytes:
@@ -88,8 +90,13 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return level
 
 
-def share_package(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package from where the driver has it, if it is not installed."""
+def prepare_session(spark: SparkSession) -> None:
+    """Settings for work on texts: smaller Arrow batches, unless the session asks for less already.
+
+    Python workers on this machine may also import the package from where the driver has it, if it is not installed.
+    """
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
