@@ -20,25 +20,48 @@ parts x salts, so no task grows with an owner's popularity.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from swayrank.llm.words import map_frames, run_hashes, sliding_min, utf8, word_hashes, words_of
 from swayrank.session import freeze
 
 WINDOW = 50
 PHRASE = 10  # words of the phrases that anchors are chosen from
-SHARD_CHARS = 1_000_000  # passage text per automaton, about 100 MB compiled
-STREAM_CHARS = 16_000_000  # slice text per task
+SHARD_CHARS = 1_000_000  # passage text per automaton, about 60 MB compiled
+STREAM_CHARS = 8_000_000  # slice text per task
 LOC_BITS = 32
 
 
+def _packed(texts: DataFrame) -> DataFrame:
+    """`text` as compressed UTF-8 (null stays null), for joins that have to move whole texts; the rest is passed on."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pressed = zstandard.ZstdCompressor(level=1, write_checksum=False)
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            packed = pa.array([None if t is None else pressed.compress(t) for t in texts], pa.binary())
+            yield batch.set_column(at, "text", packed)
+
+    fields = [T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in texts.schema.fields]
+    return texts.mapInArrow(each, T.StructType(fields))
+
+
+def _unpacked(pressed: Iterable[bytes | None]) -> Iterator[bytes | None]:
+    plain = zstandard.ZstdDecompressor()
+    return (None if p is None else plain.decompress(p) for p in pressed)
+
+
 def _runs(anchors: np.ndarray) -> np.ndarray:
     """Where each run of equal consecutive values begins."""
     return np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1]))) if len(anchors) else np.empty(0, int)
@@ -75,8 +98,8 @@ def _slices(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for doc_id, tag, text, runs in zip(frame["doc_id"], frame["tag"], frame["text"], frame["runs"]):
-            words = words_of(text)
+        for doc_id, tag, text, runs in zip(frame["doc_id"], frame["tag"], _unpacked(frame["text"]), frame["runs"]):
+            words = text.split()
             last: list | None = None
             for start, stop, owner in sorted((r["start"], r["stop"], r["owner"]) for r in runs):
                 if last is not None and last[2] == owner and last[1] == start:
@@ -88,7 +111,8 @@ def _slices(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             rows.append((last[2], doc_id, tag, last[0], b" ".join(words[last[0] : last[1] + window - 1])))
         return pd.DataFrame(rows, columns=["owner", "doc_id", "tag", "start", "words"])
 
-    joined = docs.join(wanted, ["doc_id", "tag"])
+    # Merged even if one side is small: without a shuffle between, a task would run two Python workers.
+    joined = docs.join(wanted.hint("merge"), "doc_id")
     return map_frames(joined, each, "owner long, doc_id long, tag long, start long, words binary")
 
 
@@ -237,16 +261,18 @@ def repeated_spans(
     whose spans are not spelled out.
     """
     marks = freeze(signatures(docs, window, phrase))
-    firsts = marks.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    judged = marks.select("doc_id", "tag", "digest").join(firsts, "digest")
-    copies = judged.filter("doc_id > first_id").select("doc_id", "tag").distinct()
+    firsts = marks.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    copies = freeze(
+        marks.select("doc_id", "tag", "digest").join(firsts, ["digest", "doc_id"], "left_anti")
+        .select("doc_id", "tag").distinct()
+    )
     originals = marks.join(copies, ["doc_id", "tag"], "left_anti")
     stops = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array("n_windows"))
     runs = freeze(
         originals.select(
-            "doc_id", "tag", F.explode(F.arrays_zip("anchors", "starts", stops.alias("stops"))).alias("run")
+            "doc_id", F.explode(F.arrays_zip("anchors", "starts", stops.alias("stops"))).alias("run")
         ).select(
-            "doc_id", "tag", F.col("run.anchors").alias("anchor"), F.col("run.starts").alias("start"),
+            "doc_id", F.col("run.anchors").alias("anchor"), F.col("run.starts").alias("start"),
             F.col("run.stops").alias("stop"),
         )
     )
@@ -254,10 +280,10 @@ def repeated_spans(
         runs.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last_id"))
         .filter("owner < last_id").select("anchor", "owner")
     )
-    wanted = runs.join(recurring, "anchor").groupBy("doc_id", "tag").agg(
-        F.collect_list(F.struct("start", "stop", "owner")).alias("runs")
+    wanted = runs.join(recurring, "anchor").groupBy("doc_id").agg(
+        F.collect_set(F.struct("start", "stop", "owner")).alias("runs")
     )
-    slices = freeze(_slices(docs, wanted, window))
+    slices = freeze(_slices(_packed(docs.select("doc_id", "tag", "text")), wanted, window))
     passages = freeze(_passages(slices, _confirmed(slices, window), window))
     found = _grid(passages, slices, window, shard_chars, stream_chars)
     spans = found.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("covered"))
@@ -288,26 +314,38 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFram
     spans = repeated_spans(named, window, **options).select(
         F.col("doc_id").alias("_span_id"), F.col("tag").alias("_span_tag"), "covered", "copy"
     )
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"), "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), tag.alias("tag"), "text")
+    rows = _packed(rows)
     joined = rows.join(
-        spans, (rows["row.doc_id"] == spans["_span_id"]) & (tag == spans["_span_tag"]), "left"
+        spans.hint("merge"), (rows["row.doc_id"] == spans["_span_id"]) & (rows["tag"] == spans["_span_tag"]), "left"
     ).select("row", "text", "covered", F.coalesce("copy", F.lit(False)).alias("copy"))
 
-    @F.pandas_udf("text string, n_words long, n_removed long, kept_sha256 string")
-    def cleaned(text: pd.Series, covered: pd.Series, copy: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, spans, whole in zip(text, covered, copy):
-            words = words_of(t)
-            kept = [] if whole else _kept_words(words, spans) if spans is not None else words
-            joined = b" ".join(kept)
-            rows.append((
-                t if len(kept) == len(words) else joined.decode("utf-8", "surrogatepass"),
-                len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(),
-            ))
-        return pd.DataFrame(rows, columns=["text", "n_words", "n_removed", "kept_sha256"])
-
-    made = joined.select("row", cleaned("text", "covered", "copy").alias("made"))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts, removed, digests = [], [], [], []
+            for t, spans, whole in zip(
+                _unpacked(batch.column("text").to_pylist()), batch.column("covered").to_pylist(), batch.column("copy").to_pylist()
+            ):
+                words = (t or b"").split()
+                kept = [] if whole else _kept_words(words, spans) if spans is not None else words
+                joined = b" ".join(kept)
+                texts.append(t if len(kept) == len(words) else joined)
+                counts.append(len(words))
+                removed.append(len(words) - len(kept))
+                digests.append(hashlib.sha256(joined).hexdigest())
+            columns = {
+                "row": batch.column("row"), "text": pa.array(texts, pa.binary()).cast(pa.string()),
+                "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+                "kept_sha256": pa.array(digests, pa.string()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    schema = T.StructType([
+        T.StructField("row", rows.schema["row"].dataType), T.StructField("text", T.StringType()),
+        T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+        T.StructField("kept_sha256", T.StringType()),
+    ])
+    made = joined.mapInArrow(clean, schema)
     return made.select(
-        *[F.col(f"row.{c}") if c != "text" else F.col("made.text") for c in docs.columns],
-        "made.n_words", "made.n_removed", "made.kept_sha256",
+        *[F.col(f"row.`{c}`") if c != "text" else F.col("text") for c in docs.columns], "n_words", "n_removed", "kept_sha256"
     )
