@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swayrank.llm.words import join_counted
 from swayrank.session import freeze
 
 MAX_ROUNDS = 60
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Hang every larger neighbour of a node on the smallest node around it."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+    moved = join_counted(both.filter("b > a"), least, "a", 2 * total)
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = join_counted(links, least, "a", total).filter("b <> m")
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
 
 
 def _state(links: DataFrame) -> tuple:
@@ -34,7 +36,8 @@ def components(links: DataFrame) -> DataFrame:
     """One row (node, root) for each node of `links` (a, b longs) that is not itself the smallest of its component.
 
     The number of rounds grows with the logarithm of the longest path. Each round's links are written
-    to the shared folder, so a lost executor repeats one round at most. Self-links and repeated links
+    to the shared folder, so a lost executor repeats one round at most. Nodes with very many links are met by broadcast,
+    so no task gets a whole star. Self-links and repeated links
     are ignored; no links give no rows.
     """
     current = freeze(
@@ -44,7 +47,7 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if before[0] == 0:
             break
-        current = freeze(_small_star(_large_star(current).distinct()).distinct())
+        current = freeze(_small_star(_large_star(current, before[0]).distinct(), before[0]).distinct())
         now = _state(current)
         if now == before:
             break

@@ -12,11 +12,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swayrank.llm.words import map_frames, nullable_ids, utf8
+from swayrank.llm.words import map_columns, utf8
 
 MAX_CACHED_STEPS = 200_000
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of lower-cased bytes: runs without other ASCII characters
@@ -217,11 +217,11 @@ def scan_licenses(
     out as they are; other columns are ignored; an empty table gives no rows.
     """
     _automaton(templates)  # refuses bad templates before any task runs
-    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
+    columns = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
 
-    def each(frame: pd.DataFrame) -> pd.DataFrame:
+    def each(batch: pa.RecordBatch) -> dict:
         automaton, rows = _automaton(templates), []
-        for doc, t in zip(nullable_ids(frame["doc_id"]), frame["text"]):
+        for t in batch.column("text").to_pylist():
             words = words_of_license(t)
             found = sorted(automaton.matches(words))
             base = [m for m in found if templates[m[2]].base]
@@ -230,17 +230,16 @@ def scan_licenses(
                 covered += max(0, stop - max(start, end))
                 end = max(end, stop)
             rows.append((
-                doc, len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None,
+                len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None,
                 ",".join(sorted({templates[m[2]].label for m in base})),
                 ",".join(sorted({templates[m[2]].label for m in found})),
                 covered / len(words) if words else 0.0,
                 [{"template": templates[n].name, "label": templates[n].label, "start": a, "stop": b} for a, b, n in found],
             ))
-        made = pd.DataFrame(rows, columns=columns)
-        return made.assign(**{c: nullable_ids(made[c]) for c in ("doc_id", "first_word", "last_word")})
+        return {"doc_id": batch.column("doc_id"), **dict(zip(columns, map(list, zip(*rows))))}
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_frames(
+    return map_columns(
         rows, each,
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
         "score double, matches array<struct<template: string, label: string, start: bigint, stop: bigint>>",

@@ -10,13 +10,13 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swayrank.llm.bpe import Vocabulary, load_vocabulary
-from swayrank.llm.words import map_frames, nullable_ids
+from swayrank.llm.words import arrow_schema, map_columns, record_batch
 from swayrank.session import freeze
 
 MAX_TOKENS = 1024
@@ -72,9 +72,9 @@ def token_pieces(
     shared = load_vocabulary(docs.sparkSession, vocabulary)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
-    def each(frame: pd.DataFrame) -> pd.DataFrame:
+    def each(batch: pa.RecordBatch) -> dict:
         held, end, rows = Vocabulary.of(shared), end_id.to_bytes(4, "little"), []
-        for doc_id, text in zip(nullable_ids(frame["doc_id"]), frame["text"]):
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             ids = held.ids(text) + end
             count = len(ids) // 4
             start, stop, piece = 0, (count - 1) % max_tokens + 1, 0
@@ -82,12 +82,11 @@ def token_pieces(
                 part = ids[4 * start : 4 * stop]
                 rows.append((doc_id, piece, start, stop - start, zlib.crc32(part), *[part] * keep_ids))
                 start, stop, piece = stop, stop + max_tokens, piece + 1
-        made = pd.DataFrame(rows, columns=names)
-        return made.assign(doc_id=nullable_ids(made["doc_id"]))
+        return dict(zip(names, map(list, zip(*rows))))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return map_frames(rows, each, schema)
+    return map_columns(rows, each, schema)
 
 
 def best_fit(
@@ -103,18 +102,19 @@ def best_fit(
     order = F.xxhash64(*pieces.columns)
     dealt = pieces.withColumn("_order", order).repartition(tasks, "_order").sortWithinPartitions("_order")
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    schema = f"{fields}, sequence_id long, offset long"
+    target = arrow_schema(schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = BestFit(max_tokens, open_bins)
         base = TaskContext.get().partitionId() << LOCAL_BITS
-        for frame in frames:
-            placed = [bins.place(x) for x in frame["length"].tolist()]
-            frame["doc_id"] = nullable_ids(frame["doc_id"])
-            frame["sequence_id"] = [base + s for s, _ in placed]
-            frame["offset"] = [o for _, o in placed]
-            yield frame.drop(columns="_order")
+        for batch in batches:
+            placed = [bins.place(x) for x in batch.column("length").to_pylist()]
+            made = {name: batch.column(name) for name in batch.schema.names}
+            yield record_batch(made | {"sequence_id": [base + s for s, _ in placed], "offset": [o for _, o in placed]}, target)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return dealt.mapInPandas(each, f"{fields}, sequence_id long, offset long")
+    return dealt.mapInArrow(each, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, **options) -> DataFrame:

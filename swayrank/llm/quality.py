@@ -124,10 +124,10 @@ def line_first(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     All is done in the scan's own stage, row by row, whatever the length. A null text has no words and stays
     null; it fails the base rule like an empty one. Ids are not looked at, so null ids and repeated rows come out
-    as they are. Columns of `docs` pass through; ones named like the new ones are replaced. An empty table
-    gives no rows.
+    as they are. Columns of `docs` pass through; ones named like the new ones, in any case, are replaced. An empty
+    table gives no rows.
     """
-    rest = [c for c in docs.columns if c not in TYPES]
+    rest = [c for c in docs.columns if c.lower() not in TYPES]
 
     @F.pandas_udf(", ".join(f"{n} {t}" for n, t in TYPES.items()))
     def judged(text: pd.Series) -> pd.DataFrame:

@@ -66,7 +66,7 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 
 
 def place(df: DataFrame, key: str, shards: Sequence[str], size: int = TABLE_SIZE) -> DataFrame:
-    """`df` with the columns slot and shard, replaced if they exist.
+    """`df` with the columns slot and shard, replaced if they exist in any case.
 
     Equal keys go to one shard. Null keys have a shard like any key; repeated rows are kept; other columns pass
     through untouched, whatever their names; an empty table stays empty. Nothing is shuffled.
@@ -75,6 +75,6 @@ def place(df: DataFrame, key: str, shards: Sequence[str], size: int = TABLE_SIZE
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), slot_of(F.col(f"`{key}`"), size).alias("_slot"))
     placed = rows.join(F.broadcast(table), F.col("_slot") == F.col("_table_slot"))
     return placed.select(
-        *[F.col(f"_row.`{c}`") for c in df.columns if c not in ("slot", "shard")],
+        *[F.col(f"_row.`{c}`") for c in df.columns if c.lower() not in ("slot", "shard")],
         F.col("_slot").alias("slot"), F.col("_table_shard").alias("shard"),
     )

@@ -16,12 +16,13 @@ from math import comb, log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swayrank.llm.components import components
-from swayrank.llm.words import map_frames, utf8
+from swayrank.llm.words import join_counted, map_columns, utf8
 from swayrank.session import freeze
 
 SEED = 42
@@ -55,14 +56,16 @@ def _signed(value: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp long) per row of `docs`. A null text has no words."""
+    """(doc_id, tag, fp longs) per row of `docs`; `tag` is a hash of the text. A null text has no words."""
 
-    def each(frame: pd.DataFrame) -> pd.DataFrame:
-        made = [_signed(fingerprint(t, shingle)) for t in frame["text"]]
-        return pd.DataFrame({"doc_id": frame["doc_id"], "fp": np.array(made, np.int64)})
+    def each(batch: pa.RecordBatch) -> dict:
+        made = [_signed(fingerprint(t, shingle)) for t in batch.column("text").to_pylist()]
+        return {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "fp": made}
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_frames(rows, each, "doc_id long, fp long")
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tag")
+    )
+    return map_columns(rows, each, "doc_id long, tag long, fp long")
 
 
 def block_count(fingerprint_count: int, max_bits: int) -> int:
@@ -177,6 +180,28 @@ def close_links(nodes: DataFrame, count: int, max_bits: int, bucket: int = BUCKE
     return links.unionByName(dense_links.filter("a <> b").distinct())
 
 
+def _named(docs: DataFrame, shingle: int, max_bits: int, doc_id: str, text: str, bucket: int) -> DataFrame:
+    """(doc_id, tag, fp, root, component_id) per row; rows without an id have no component.
+
+    `root` is a fingerprint that tells components apart; two may have the same smallest id if ids repeat.
+    """
+    table = freeze(fingerprints(docs, shingle, doc_id, text))
+    nodes = freeze(
+        table.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    )
+    count = nodes.count()
+    members = components(freeze(close_links(nodes, count, max_bits, bucket)))
+    rooted = freeze(
+        nodes.join(members, nodes["fp"] == members["node"], "left")
+        .select("fp", F.coalesce("root", "fp").alias("root"), "first_id", F.col("n").alias("copies"))
+    )
+    least = freeze(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")))
+    facts = freeze(join_counted(rooted, least, "root", count).select("fp", "root", "component_id", F.col("copies").alias("n")))
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    known = join_counted(table.filter("doc_id is not null"), facts, "fp", total)
+    return known.unionByName(table.filter("doc_id is null"), allowMissingColumns=True)
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 4, max_bits: int = 4, doc_id: str = "doc_id", text: str = "text",
     bucket: int = BUCKET,
@@ -185,35 +210,42 @@ def near_duplicates(
 
     Null and empty texts, and texts without words, have fingerprint zero and are linked like any other.
     Texts shorter than a shingle are one shingle. Rows with a null id take no part: their component is
-    null. Repeated rows are returned as often as they come. Other columns are ignored; an empty table
-    gives no rows.
+    null. Rows that share an id are rows of their own: each is in the component of its text. Repeated rows are
+    returned as often as they come. Other columns are ignored; an empty table gives no rows.
     """
-    table = freeze(fingerprints(docs, shingle, doc_id, text))
-    nodes = freeze(table.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    links = freeze(close_links(nodes, nodes.count(), max_bits, bucket))
-    members = components(links)
-    rooted = nodes.join(members, nodes["fp"] == members["node"], "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "first_id"
-    )
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return table.join(named, "fp", "left").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
+    return _named(docs, shingle, max_bits, doc_id, text, bucket).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their component, one row each; rows with a null id stay.
+    """One row of each component of near duplicates: the one with the smallest id. Rows with a null id stay.
+
+    Each row is judged by its own text, so rows that share an id but are not near duplicates all stay. Of rows of one
+    component with the same smallest id, the one with the smallest fingerprint, then text hash, stays; of rows
+    with the same id and text, the one whose columns have the smallest hash. Null, empty and wordless texts
+    are near duplicates of each other; very long texts count whole; other columns pass through, whatever their
+    names; an empty table gives no rows.
 
-    Only ids decide, so texts are not moved when few documents go: the ids that go, and those of repeated rows, are
-    written first, and Spark sees their true size.
+    Ids and text hashes decide, so texts are not moved when few documents go: the rows that go, and those that are
+    repeated, are written first, and Spark sees their true size.
     """
-    found = freeze(near_duplicates(docs, shingle, max_bits).select("doc_id", "component_id"))
-    gone = freeze(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    repeated = freeze(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    first = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(first)
+    found = _named(docs, shingle, max_bits, "doc_id", "text", BUCKET).filter("doc_id is not null")
+    one = F.struct("doc_id", "fp", "tag")
+    found = freeze(found.groupBy("root", one.alias("one")).agg(F.count("*").alias("n")))
+    least = freeze(found.groupBy("root").agg(F.min("one").alias("first"), F.count("*").alias("n")))
+    judged = join_counted(found.withColumnRenamed("n", "times"), least, "root", found.count())
+    key = [F.col("one.doc_id").alias("_gone_id"), F.col("one.tag").alias("_gone_tag")]
+    gone = freeze(judged.filter("one <> first").select(*key))
+    repeated = freeze(judged.filter("one = first and times > 1").select(*key))
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(
+        row.alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tag")
+    )
+    same = (F.col("_id") == F.col("_gone_id")) & (F.col("_tag") == F.col("_gone_tag"))
+    kept = rows.join(gone, same, "left_anti")
+    once = kept.join(repeated, same, "left_anti").select("_row")
+    hashed = [F.col(f"_row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    first = kept.join(repeated, same, "left_semi").groupBy("_id", "_tag").agg(F.min_by("_row", F.xxhash64(*hashed)).alias("_row"))
+    return once.unionByName(first.select("_row")).select(*[F.col(f"_row.`{c}`") for c in docs.columns])

@@ -304,9 +304,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFram
     A null text stays null and has no words; empty and short texts lose nothing. Rows with a null id take no part
     and lose nothing. Rows that share an id are not smaller than each other, so they lose nothing to one another;
     each of them is judged against smaller ids. Columns other than
-    doc_id and text pass through; columns named like the new ones are replaced. An empty table gives none.
+    doc_id and text pass through; columns named like the new ones, in any case, are replaced. An empty table gives none.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_sha256")])
     tag = F.xxhash64("text")
     named = docs.filter("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), "text"

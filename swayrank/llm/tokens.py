@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swayrank.llm.bpe import Vocabulary, load_vocabulary
-from swayrank.llm.words import map_frames, nullable_ids, utf8
+from swayrank.llm.words import map_columns, utf8
 
 LIMIT = 512
 
@@ -23,15 +23,13 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT, doc_id: s
     """
     shared = load_vocabulary(docs.sparkSession, vocabulary)
 
-    def each(frame: pd.DataFrame) -> pd.DataFrame:
-        held = Vocabulary.of(shared)
-        counts = [held.count(t) for t in frame["text"]]
-        return pd.DataFrame({
-            "doc_id": nullable_ids(frame["doc_id"]),
-            "n_bytes": [len(utf8(t)) for t in frame["text"]],
-            "n_tokens": counts,
+    def each(batch: pa.RecordBatch) -> dict:
+        held, texts = Vocabulary.of(shared), batch.column("text").to_pylist()
+        counts = [held.count(t) for t in texts]
+        return {
+            "doc_id": batch.column("doc_id"), "n_bytes": [len(utf8(t)) for t in texts], "n_tokens": counts,
             "over_limit": [c > limit for c in counts],
-        })
+        }
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_frames(rows, each, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_columns(rows, each, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

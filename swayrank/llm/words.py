@@ -11,8 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 2_000  # of texts in one Arrow batch; Spark's default suits short rows
@@ -103,8 +107,34 @@ def prepare_session(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def record_batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of the given types. Whole numbers that may be missing stay exact, as they would not in a pandas column."""
+    return pa.RecordBatch.from_arrays(
+        [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema], schema=schema
+    )
+
+
+def map_columns(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, object]], schema: str) -> DataFrame:
+    """Apply `function` to batches of rows inside the scan's own tasks; nothing moves between tasks.
+
+    It returns the new columns by name, as lists, arrays, or columns of the batch that pass through untouched.
+    """
+    target = arrow_schema(schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield record_batch(function(batch), target)
+
+    return df.mapInArrow(each, schema)
+
+
 def map_frames(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
-    """Apply `function` to batches of rows inside the scan's own tasks; nothing moves between tasks."""
+    """Like `map_columns` over pandas frames, for columns without nulls only: with one, whole numbers become floats."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -115,6 +145,16 @@ def map_frames(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame |
     return df.mapInPandas(each, schema)
 
 
-def nullable_ids(values) -> pd.Series:
-    """Whole numbers that may be missing, kept exact."""
-    return pd.Series(values, dtype="Int64")
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` with the columns of `facts`, which has each `key` once and in `n` the number of rows that have it.
+
+    Keys with more than a `HOT_SHARE`-th of the `total` rows are `HOT_SHARE` at most, so their facts are broadcast; the rows
+    of all other keys meet theirs in a shuffle in which no key is large.
+    """
+    hot = facts.filter(F.col("n") * HOT_SHARE > total).drop("n")
+    marked = rows.join(F.broadcast(hot.select(F.col(key).alias("_hot"))), F.col(key).eqNullSafe(F.col("_hot")), "left")
+    rest = marked.filter("_hot is null").drop("_hot").join(facts.drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
