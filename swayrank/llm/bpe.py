@@ -51,6 +51,8 @@ class Cache(dict):
     What is used again moves up. Uneven units are refused, never held.
     """
 
+    limit = CACHED_UNITS
+
     def __init__(self, answer: Callable[[str], object]):
         super().__init__()
         self.answer = answer
@@ -59,10 +61,10 @@ class Cache(dict):
     def __missing__(self, unit: str):
         if not unit or unit[0].isspace() or unit[-1].isspace():
             raise Uneven
-        value = self.older.get(unit)
-        if value is None:
+        value = self.older.get(unit, self)
+        if value is self:
             value = self.answer(" " + unit)
-        if len(self) >= CACHED_UNITS:
+        if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
         self[unit] = value

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from swayrank.llm import oracle
+from swayrank.llm.alignment import align_tokens
 from swayrank.llm.ann import nearest
 from swayrank.llm.licenses import scan_licenses
 from swayrank.llm.mixing import mix
@@ -21,6 +22,7 @@ from swayrank.llm.warc import archive_pages
 from swayrank.llm.words import prepare_session
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +106,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return archive_pages(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document."""
+    return align_tokens(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
