@@ -109,3 +109,23 @@ kept AS (
   FROM places p JOIN covered c ON p.doc_id = c.doc_id AND p.pos = c.pos GROUP BY p.doc_id)
 SELECT t.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
 FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id"""
+
+
+def near_vectors(table: str = "embeddings") -> str:
+    return f"""
+WITH RECURSIVE rows AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM {table}),
+usable AS (
+  SELECT vec_id, label, v FROM rows
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(v) > 0 AND len([x for x in v if x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x for x in v if x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reached(node, root) AS (
+  SELECT a, a FROM links
+  UNION
+  SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.node WHERE r.root < l.b),
+components AS (SELECT node, min(root) AS root FROM reached GROUP BY node)
+SELECT r.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(k.root, r.vec_id) AS component_id, coalesce(k.root, r.vec_id) = r.vec_id AS kept
+FROM rows r LEFT JOIN counts c ON r.vec_id = c.a LEFT JOIN components k ON r.vec_id = k.node"""

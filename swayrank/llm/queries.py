@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from swayrank.llm import oracle
 from swayrank.llm.alignment import align_tokens
 from swayrank.llm.ann import nearest
+from swayrank.llm.covertree import near_vectors
 from swayrank.llm.licenses import scan_licenses
 from swayrank.llm.mixing import mix
 from swayrank.llm.packing import pack_documents
@@ -108,6 +109,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op12_near_embeddings", oracle.near_vectors())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of vectors with the same label and a cosine of at least 0.93."""
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 @query("op13_token_alignment")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     """Groups and links of two tokenizers' tokens in every document."""
