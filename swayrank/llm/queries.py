@@ -17,6 +17,7 @@ from swayrank.llm.packing import pack_documents
 from swayrank.llm.quality import line_first
 from swayrank.llm.sharding import place
 from swayrank.llm.simhash import near_duplicates
+from swayrank.llm.spelling import spelling_forms
 from swayrank.llm.substrings import remove_repeats
 from swayrank.llm.tokens import count_tokens
 from swayrank.llm.warc import archive_pages
@@ -109,6 +110,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op11_spelling_forms")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Near words, form and root of every word of the documents."""
+    return spelling_forms(table(spark, folder, "documents"))
+
+
 @query("op12_near_embeddings", oracle.near_vectors())
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of vectors with the same label and a cosine of at least 0.93."""
