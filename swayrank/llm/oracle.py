@@ -129,3 +129,42 @@ reached(node, root) AS (
 components AS (SELECT node, min(root) AS root FROM reached GROUP BY node)
 SELECT r.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(k.root, r.vec_id) AS component_id, coalesce(k.root, r.vec_id) = r.vec_id AS kept
 FROM rows r LEFT JOIN counts c ON r.vec_id = c.a LEFT JOIN components k ON r.vec_id = k.node"""
+
+
+def spelling(table: str = "documents") -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE steps(i, v, k) AS (
+  SELECT i, i::BIGINT, 0 FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+lookup AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[a-z\u00C0-\u00FF]+')) AS run FROM {table}),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    [4294967295::BIGINT] || [('0x' || b)::BIGINT for b in regexp_extract_all(hex(encode(doc_id || ':' || run)), '..')],
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h FROM counted, lookup),
+thinned AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM thinned WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM words, range(length(word)) t(i)),
+near AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON c.rest = w.word),
+ranked AS (
+  SELECT p.word, p.near, w.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+    row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, p.near) AS place
+  FROM near p JOIN words w ON p.near = w.word),
+formed AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.near_n >= 2 * w.n THEN r.near END AS form,
+    CASE WHEN r.near_n >= 2 * w.n THEN r.near_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word AND r.place = 1),
+chains(word, place) AS (
+  SELECT word, word FROM formed
+  UNION ALL
+  SELECT c.word, f.form FROM chains c JOIN formed f ON c.place = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.place AS root
+FROM formed f JOIN chains c ON f.word = c.word JOIN formed last ON c.place = last.word AND last.form IS NULL"""

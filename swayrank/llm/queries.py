@@ -110,7 +110,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op11_spelling_forms")
+@query("op11_spelling_forms", oracle.spelling())
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     """Near words, form and root of every word of the documents."""
     return spelling_forms(table(spark, folder, "documents"))
