@@ -31,7 +31,8 @@ from swayrank.operators.stats import (
     position_histogram,
     summarise_participants,
 )
-from swayrank.plans.refit import RUN_KEYS, Rescore
+from swayrank.plans.deltas import RUN_KEYS, rank_moves
+from swayrank.plans.refit import FixedScore, Rescore
 from swayrank.session import freeze
 
 
@@ -54,13 +55,18 @@ class Reranked:
     qini: DataFrame
 
 
+def _baseline(scored: DataFrame, trial: Trial) -> tuple[DataFrame, DataFrame]:
+    cells = qini_cells(scored, "uplift", trial.treatment, trial.target)
+    return freeze(attach_ranks(scored, cells, "uplift"), spread=True), cells
+
+
 def baseline_ranking(scored: DataFrame, trial: Trial) -> tuple[DataFrame, DataFrame]:
     """The scored test table with `rank` and `normalised_rank`, and its Qini coefficient (one row).
 
     Every later step reads this table, so it is written once.
     """
-    cells = qini_cells(scored, "uplift", trial.treatment, trial.target)
-    return freeze(attach_ranks(scored, cells, "uplift"), spread=True), qini_auc_from_cells(cells)
+    ranked, cells = _baseline(scored, trial)
+    return ranked, qini_auc_from_cells(cells)
 
 
 def rank_after_action(
@@ -97,10 +103,17 @@ def summarise_runs(
     reranked: Reranked, baseline_qini: DataFrame, action: CollectiveAction, trial: Trial
 ) -> DataFrame:
     """One result row per run; a run without participants stays, with count 0 and null measures."""
-    # Means and medians read these rows several times; they are the participants' two ranks only.
     ranks = participants(reranked.comparison).select(*RUN_KEYS, "normalised_rank", "normalised_rank_modified")
+    return _result_rows(reranked.qini, ranks, baseline_qini, action, trial)
+
+
+def _result_rows(
+    qini: DataFrame, ranks: DataFrame, baseline_qini: DataFrame, action: CollectiveAction, trial: Trial
+) -> DataFrame:
+    """Result rows from the Qini coefficient of each run and its participants' two ranks."""
+    # Means and medians read the ranks several times.
     moved = summarise_participants(freeze(ranks), by=RUN_KEYS)
-    rows = join_groups(reranked.qini, moved, RUN_KEYS, "left")
+    rows = join_groups(qini, moved, RUN_KEYS, "left")
     named = attach_one_row(rows, baseline_qini.select(F.col("qini_coeff").alias("baseline_qini_coeff")))
     return named.select(
         "run_id",
@@ -123,7 +136,19 @@ def summarise_runs(
 def run_grid(
     scored_test: DataFrame, action: CollectiveAction, runs: Sequence[Run], rescore: Rescore, trial: Trial
 ) -> DataFrame:
-    """The whole grid of repeats as one plan; the baseline is scored and ranked once."""
+    """The whole grid of repeats as one plan; the baseline is scored and ranked once.
+
+    With a fixed score only participants are looked at; a refitted model may change the score of every row.
+    """
+    if isinstance(rescore, FixedScore):
+        ranked, cells = _baseline(scored_test, trial)
+        cells = freeze(cells)
+        moves, after = rank_moves(
+            ranked, cells, action, runs, rescore.score, trial.treatment, trial.target, trial.id_col
+        )
+        alike = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+        ranks = moves.select(*RUN_KEYS, "normalised_rank", "normalised_rank_modified", alike).drop("col")
+        return _result_rows(after, ranks, qini_auc_from_cells(cells), action, trial)
     ranked, qini = baseline_ranking(scored_test, trial)
     return summarise_runs(rank_after_action(ranked, action, runs, rescore, trial), qini, action, trial)
 

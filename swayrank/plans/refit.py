@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,18 +14,22 @@ from swayrank.models.store import DEFAULTS, fit_model
 from swayrank.operators.action import CollectiveAction, Run, apply_action_runs
 from swayrank.session import freeze
 
-RUN_KEYS = ["run_id", "frac"]
-
 Rescore = Callable[[DataFrame, CollectiveAction, Sequence[Run], str], DataFrame]
 
 
-def fixed_score(score: Callable[[DataFrame], DataFrame]) -> Rescore:
-    """Apply a given score (a formula, or an already fitted model) to the changed rows of all runs."""
+@dataclass(frozen=True)
+class FixedScore:
+    """A score that depends on a row alone; grids with it need to look at participants only (`plans.deltas`)."""
+
+    score: Callable[[DataFrame], DataFrame]
 
-    def rescore(rows: DataFrame, action: CollectiveAction, runs: Sequence[Run], id_col: str) -> DataFrame:
-        return score(apply_action_runs(rows, action, runs, id_col))
+    def __call__(self, rows: DataFrame, action: CollectiveAction, runs: Sequence[Run], id_col: str) -> DataFrame:
+        return self.score(apply_action_runs(rows, action, runs, id_col))
 
-    return rescore
+
+def fixed_score(score: Callable[[DataFrame], DataFrame]) -> Rescore:
+    """Apply a given score (a formula, or an already fitted model) to the changed rows of all runs."""
+    return FixedScore(score)
 
 
 def refitted(
