@@ -196,6 +196,11 @@ ORACLE["load_campaign"] = with_campaign(
     f"SELECT ID, segment, treatment, visit, {FEATURE_COLS}, history_segment, channel, zip_code FROM campaign")
 ORACLE["join_on_id"] = with_campaign(f"SELECT ID, {FEATURE_COLS}, visit, segment FROM campaign")
 ORACLE["write_read_table"] = with_campaign(f"SELECT ID, segment, {FEATURE_COLS} FROM campaign")
+ORACLE["resume_grid"] = with_scored(
+    f"""SELECT run_id, {RESULT_COLUMNS} FROM results
+UNION ALL
+SELECT run_id, {RESULT_COLUMNS} FROM (SELECT * REPLACE ('other' AS model) FROM results WHERE run_id = {SMALL_RUNS[0].run_id})""",
+    *SMALL_GRID)
 ORACLE["read_results"] = with_scored(f"SELECT {RESULT_COLUMNS} FROM results", *SMALL_GRID)
 
 # ---- preparation ----

@@ -24,6 +24,7 @@ from swayrank.operators import stats as sts
 from swayrank.plans import experiment as exp
 from swayrank.plans.prepare import Prepared, prepare_email
 from swayrank.plans.refit import fixed_score, refitted
+from swayrank.plans.resume import finished_results, run_grid_into
 from swayrank.plans.train import ExplainConfig, train_and_explain
 from swayrank.session import freeze, shared_folder
 from swayrank.sources import tables as src
@@ -49,6 +50,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 GRID_RUNS = act.run_grid_keys((0.02, 0.05, 0.1), smp.seed_list(10))
 SMALL_RUNS = act.run_grid_keys((0.05, 0.1), smp.seed_list(4))
 ATTRIBUTED = [*FEATURES, "treatment"]
+CAMPAIGN_REST = ["recency", "history", "history_segment", "newbie", "channel", "zip_code"]
 
 FORMULA = fixed_score(formula_score)
 
@@ -79,7 +81,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 @query
 def load_campaign(spark, sf_dir):
-    return rounded(campaign(spark, sf_dir))
+    """Features, target and treatment read from tables of their own and put side by side."""
+    rows, parts = campaign(spark, sf_dir), {"features": ["segment", *CAMPAIGN_REST], "target": ["visit"], "arms": ["treatment"]}
+    paths = [src.write_table(rows.select("ID", *columns), scratch(spark, name)) for name, columns in parts.items()]
+    return rounded(src.load_campaign(spark, paths[0], None, *paths[1:]).select(rows.columns))
 
 
 @query
@@ -99,8 +104,18 @@ def write_read_table(spark, sf_dir):
 @query
 def read_results(spark, sf_dir):
     path = src.write_results(small_grid(spark, sf_dir).drop("run_id"), scratch(spark, "results"))
-    names = [f.name for f in src.RESULT_SCHEMA]
-    return rounded(spark.read.schema(src.RESULT_SCHEMA).parquet(path).select(*names))
+    return rounded(src.read_results(spark, path).select(*[f.name for f in src.RESULT_SCHEMA]))
+
+
+@query
+def resume_grid(spark, sf_dir):
+    """A grid that is finished in two goes, beside the results of another model: rows of all three come back."""
+    folder, scored = scratch(spark, "kept"), scored_campaign(spark, sf_dir)
+    other = exp.Trial(dataset="campaign", model="other")
+    run_grid_into(folder, scored, HISTORY_ACTION, SMALL_RUNS[:1], FORMULA, other)
+    run_grid_into(folder, scored, HISTORY_ACTION, SMALL_RUNS[:3], FORMULA, TRIAL)
+    run_grid_into(folder, scored, HISTORY_ACTION, SMALL_RUNS, FORMULA, TRIAL, batch_runs=3)
+    return rounded(finished_results(spark, folder))
 
 
 # ---- preparation ----
