@@ -2,8 +2,8 @@
 
 Splits maximise the normalised divergence gain of Rzepakowski & Jaroszewicz, "Decision trees for
 uplift modeling with single and multiple treatments" (2012), with response rates shrunk towards the
-parent node. All trees of all runs grow together, level by level: a level is one map-side-combined
-count per (run, tree, node, feature, bin), whose size depends on the parameters and not on the data.
+parent node. All trees of all runs grow together, level by level: a level counts into arrays of fixed size per (run, tree,
+node), and of two siblings only the smaller (see `histograms`).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark import StorageLevel
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +24,9 @@ from pyspark.sql.types import (
 )
 
 from swayrank.functions.joins import attach_one_row, join_groups
-from swayrank.operators.stats import feature_values
+from swayrank.models.histograms import Layout, bin_edges, level_histograms, make_blocks
+from swayrank.models.histograms import walk as walk_rows
+from swayrank.session import freeze
 
 MAX_TREE_NODES = 5_000_000  # over all runs and trees; what is broadcast stays below some 100 MB
 STATS = ("n", "nt", "yt", "yc")
@@ -163,25 +165,6 @@ class UpliftForest:
 
 # ---- bins ----
 
-def bin_edges(df: DataFrame, features: Sequence[str], n_bins: int) -> list[list[float]]:
-    """Split candidates per feature: every value but the lowest, or quantiles where there are many.
-
-    A value belongs to the bin counting the edges not above it.
-    """
-    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in features]).first()
-    few = [c for c in features if counts[c] <= 2 * n_bins]
-    many = [c for c in features if c not in few]
-    values: dict[str, set[float]] = {c: set() for c in features}
-    if few:
-        for row in feature_values(df, few).where("value is not null").distinct().collect():
-            values[row["feature"]].add(row["value"])
-    if many:
-        shares = [i / n_bins for i in range(n_bins + 1)]
-        for c, found in zip(many, df.approxQuantile(many, shares, 0.1 / n_bins)):
-            values[c] = set(found)
-    return [sorted(values[c])[1:] for c in features]
-
-
 def with_bins(df: DataFrame, features: Sequence[str], edges: Sequence[Sequence[float]]) -> DataFrame:
     """Add `_bins`, the array of bin numbers in feature order; null counts as above all edges."""
     cut = [(c, e) for c, e in zip(features, edges) if e]
@@ -238,22 +221,21 @@ def _rate(y: Column, n: Column, parent: Column, config: ForestConfig) -> Column:
     return (y + config.n_reg * parent) / (n + config.n_reg)
 
 
-def node_statistics(
-    rows: DataFrame, trees: DataFrame, by: Sequence[str], config: ForestConfig, level: int, id_col: str
-) -> DataFrame:
-    """Weighted counts per (run, tree, node of this level, feature, bin)."""
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(config.n_estimators - 1))).alias("tree")
-    drawn = rows.select("*", numbers).withColumn("_w", bootstrap_weight(F.col("tree"), id_col, config.random_state))
-    placed = join_groups(drawn.where("_w > 0"), F.broadcast(trees), [*by, "tree"])
-    located = placed.withColumn("node", walk(F.col("_feature"), F.col("_cut"), level))
-    here = located.where(F.col("node") >= 2**level - 1)
-    w, t, y = F.col("_w").cast("long"), F.col("_t"), F.col("_y")
-    return (
-        here.select(*by, "tree", "node", F.posexplode("_bins").alias("split_on", "bin"),
-                    w.alias("w"), (w * t).alias("wt"), (w * t * y).alias("wty"), (w * (1 - t) * y).alias("wcy"))
-        .groupBy(*by, "tree", "node", "split_on", "bin")
-        .agg(F.sum("w").alias("n"), F.sum("wt").alias("nt"), F.sum("wty").alias("yt"), F.sum("wcy").alias("yc"))
+COUNTS = "n array<bigint>, nt array<bigint>, yt array<bigint>, yc array<bigint>"
+
+
+def node_statistics(made: DataFrame, by_schema: StructType, layout: Layout) -> DataFrame:
+    """Weighted counts per (run, tree, node, feature, bin) from a level's arrays."""
+    widths = [len(e) + 2 for e in layout.edges]
+    places = [F.lit(",".join(map(str, x))) for x in (
+        [j for j, w in enumerate(widths) for _ in range(w)], [b for w in widths for b in range(w)])]
+    numbers = [F.transform(F.split(p, ","), lambda x: x.cast("int")) for p in places]
+    run = F.from_json(F.substring_index("key", "#", 1), by_schema) if len(by_schema) else F.struct()
+    keyed = made.select(
+        *[run[f.name].alias(f.name) for f in by_schema], F.substring_index("key", "#", -1).cast("int").alias("tree"), "node",
+        F.inline(F.arrays_zip(numbers[0].alias("split_on"), numbers[1].alias("bin"), *STATS)),
     )
+    return keyed.toDF(*by_schema.names, "tree", "node", "split_on", "bin", *STATS).where("n > 0")
 
 
 def best_splits(stats: DataFrame, rates: DataFrame, by: Sequence[str], config: ForestConfig) -> DataFrame:
@@ -304,7 +286,7 @@ def best_splits(stats: DataFrame, rates: DataFrame, by: Sequence[str], config: F
         admissible &= (c(f"{side}_n") - c(f"{side}_nt")) >= config.min_samples_treatment
     choice = F.struct(
         c("gain"), (-c("split_on")).alias("order_on"), (-c("bin")).alias("order_bin"), "split_on", "bin",
-        "lo_p", "lo_q", "hi_p", "hi_q", "improvement",
+        "lo_p", "lo_q", "hi_p", "hi_q", "improvement", "lo_n", "hi_n",
     )
     return (
         sides.withColumns({"gain": gain, "improvement": improvement, "pick": pick})
@@ -316,50 +298,84 @@ def best_splits(stats: DataFrame, rates: DataFrame, by: Sequence[str], config: F
 
 def fit_uplift_forest(
     train: DataFrame, features: Sequence[str], config: ForestConfig = ForestConfig(), treatment: str = "treatment",
-    target: str = "visit", id_col: str = "ID", by: Sequence[str] = (),
+    target: str = "visit", id_col: str = "ID", by: Sequence[str] = (), edges: Sequence[Sequence[float]] | None = None,
 ) -> UpliftForest:
     """Grow the forest; with `by`, one forest per run in the same jobs.
 
-    The driver holds the trees (runs x trees x 2^depth nodes, checked), never rows.
+    `edges` are split candidates per feature, found from `train` if not given. The driver holds the trees (runs x trees x
+    2^depth nodes, checked), never rows.
     """
     spark, by = train.sparkSession, list(by)
-    edges = bin_edges(train, features, config.n_bins)
-    rows = with_bins(train, features, edges).select(
-        *by, id_col, "_bins", F.col(treatment).cast("long").alias("_t"), F.col(target).cast("long").alias("_y")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    edges = [list(e) for e in edges] if edges is not None else bin_edges(train, features, config.n_bins)
+    layout, count = Layout.of(edges), config.n_estimators
+    weights = F.array(*[bootstrap_weight(F.lit(k), id_col, config.random_state).cast("double") for k in range(count)])
+    rows = train.select(
+        *by, *features, F.col(treatment).cast("double").alias("_t"), F.col(target).cast("double").alias("_y"), weights.alias("_w")
+    )
+    blocks = freeze(make_blocks(rows, features, layout, by, {"_t": 1, "_y": 1, "_w": count}))
+    by_schema = StructType([train.schema[c] for c in by])
+    found = blocks.select("key").distinct().limit(MAX_TREE_NODES)
+    found = found.select("key", F.from_json("key", by_schema).alias("run")).collect() if by else found.collect()
+    if len(found) * count * 2 ** (config.max_depth + 1) > MAX_TREE_NODES:
+        raise ValueError("too many runs for one forest fit; split the list of runs")
+    keys = {r["key"]: tuple(r["run"]) if by else () for r in found} or ({} if by else {"{}": ()})
+    forest = {key: [Tree.empty(config.max_depth) for _ in range(count)] for key in keys.values()}
+    rate_schema = StructType([*by_schema, StructField("tree", IntegerType()), StructField("node", IntegerType()),
+                              StructField("p", DoubleType()), StructField("q", DoubleType())])
+    names = {(keys[name], k): f"{name}#{k}" for name in keys for k in range(count)}
+    counted: dict[str, dict[int, int]] = {name: {0: -1} for name in names.values()}
+    made, levels = None, []
     try:
-        keys = [tuple(r) for r in rows.select(*by).distinct().limit(MAX_TREE_NODES).collect()] if by else [()]
-        if len(keys) * config.n_estimators * 2 ** (config.max_depth + 1) > MAX_TREE_NODES:
-            raise ValueError("too many runs for one forest fit; split the list of runs")
-        by_schema = StructType([rows.schema[c] for c in by])
-        forest = {key: [Tree.empty(config.max_depth) for _ in range(config.n_estimators)] for key in keys}
-        tree_schema = StructType([*by_schema, StructField("tree", IntegerType()),
-                                  StructField("_feature", ArrayType(IntegerType())),
-                                  StructField("_cut", ArrayType(IntegerType()))])
-        rate_schema = StructType([*by_schema, StructField("tree", IntegerType()), StructField("node", IntegerType()),
-                                  StructField("p", DoubleType()), StructField("q", DoubleType())])
         for level in range(config.max_depth):
-            trees = spark.createDataFrame(
-                [(*key, k, t.feature, t.cut) for key, ts in forest.items() for k, t in enumerate(ts)], tree_schema)
+            arrays = {names[key, k]: (np.array(t.feature), np.array(t.cut)) for key, ts in forest.items() for k, t in enumerate(ts)}
+            measure = _forest_measure(arrays, counted, count, level)
+            made = level_histograms(blocks, made, counted, layout, len(STATS), measure, _count_arrays, COUNTS)
+            levels.append(made)
             first = 2**level - 1
             rates = spark.createDataFrame(
                 [(*key, k, node, t.treated_rate[node], t.control_rate[node])
                  for key, ts in forest.items() for k, t in enumerate(ts)
                  for node in range(first, 2 * first + 1) if level > 0 and t.feature[(node - 1) // 2] >= 0], rate_schema)
-            stats = node_statistics(rows, trees, by, config, level, id_col)
-            grown = 0
-            for r in best_splits(stats, rates, by, config).collect():
-                tree, node = forest[tuple(r[c] for c in by)][r["tree"]], r["node"]
+            counted = {}
+            for r in best_splits(node_statistics(made, by_schema, layout), rates, by, config).collect():
+                key, node = tuple(r[c] for c in by), r["node"]
+                tree = forest[key][r["tree"]]
                 tree.treated_rate[node], tree.control_rate[node] = r["p"], r["q"]
                 if r["split_on"] is None:
                     continue
-                grown += 1
                 tree.feature[node], tree.cut[node], tree.gain[node] = r["split_on"], r["bin"], r["improvement"]
                 low, high = 2 * node + 1, 2 * node + 2
                 tree.treated_rate[low], tree.control_rate[low] = r["lo_p"], r["lo_q"]
                 tree.treated_rate[high], tree.control_rate[high] = r["hi_p"], r["hi_q"]
-            if not grown:
+                counted.setdefault(names[key, r["tree"]], {})[high if r["hi_n"] < r["lo_n"] else low] = node
+            if not counted:
                 break
     finally:
-        rows.unpersist()
+        for done in levels:
+            done.unpersist()
     return UpliftForest(tuple(features), config, edges, forest, by, by_schema)
+
+
+def _count_arrays(key: str, node: int, cells: np.ndarray) -> tuple:
+    return tuple(np.rint(cells.T).astype(np.int64).tolist())
+
+
+def _forest_measure(arrays: dict[str, tuple], counted: dict, count: int, level: int):
+    """The node of every row in each tree of its run, and its counts as often as it is drawn for the tree."""
+
+    def measure(block: dict, bins: np.ndarray):
+        t, y = np.frombuffer(block["_t"]), np.frombuffer(block["_y"])
+        weights = np.frombuffer(block["_w"]).reshape(-1, count)
+        for k in range(count):
+            name = f"{block['key']}#{k}"
+            if name not in counted:
+                continue
+            drawn = np.flatnonzero(weights[:, k] > 0)
+            w, treated, responded = weights[drawn, k], t[drawn], y[drawn]
+            node = np.full(len(bins), 0)
+            node[drawn] = walk_rows(bins[drawn], *arrays[name], level)
+            numbers = np.zeros((4, len(bins)))
+            numbers[:, drawn] = w, w * treated, w * treated * responded, w * (1 - treated) * responded
+            yield name, node, list(numbers)
+
+    return measure

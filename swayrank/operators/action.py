@@ -137,14 +137,14 @@ def participation_cutoffs(
 
 
 def apply_action_runs(
-    df: DataFrame, action: CollectiveAction, runs: Sequence[Run], id_col: str = "ID"
+    df: DataFrame, action: CollectiveAction, runs: Sequence[Run], id_col: str = "ID", cutoffs: Mapping[int, str] | None = None,
 ) -> DataFrame:
     """Every row once per run with run_id, frac, `aca_flag` and the run's changes.
 
     Per run exactly int(n_eligible * frac) eligible rows take part: those whose hash does not exceed
-    the run's cutoff. The rows are neither joined nor shuffled.
+    the run's cutoff (found here unless given). The rows are neither joined nor shuffled.
     """
-    rows = with_runs(df, runs, participation_cutoffs(df, action, runs, id_col))
+    rows = with_runs(df, runs, participation_cutoffs(df, action, runs, id_col) if cutoffs is None else cutoffs)
     own_hash = F.when(eligible(action), seeded_hash(F.col("run_seed"), id_col))
     flagged = rows.withColumn("aca_flag", F.when(own_hash <= F.col("cutoff"), 1).otherwise(0))
     return apply_attacks(flagged.drop("cutoff", "run_seed"), action)

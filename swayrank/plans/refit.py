@@ -9,9 +9,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
+from swayrank.models.boosting import fit_boosted_trees
 from swayrank.models.forest import fit_uplift_forest
+from swayrank.models.histograms import bin_edges
 from swayrank.models.store import DEFAULTS, fit_model
-from swayrank.operators.action import CollectiveAction, Run, apply_action_runs
+from swayrank.operators.action import CollectiveAction, Run, apply_action_runs, participation_cutoffs
 from swayrank.session import freeze
 
 Rescore = Callable[[DataFrame, CollectiveAction, Sequence[Run], str], DataFrame]
@@ -38,27 +40,44 @@ def refitted(
 ) -> Rescore:
     """Train and test rows take the action with the same seed; the model is fitted anew for every run.
 
-    The model's own seed stays the same, so that runs differ only in who takes part. The forest fits
-    all runs in the same jobs. The library classifiers fit one data set at a time, so their runs are
-    submitted from a few threads and each run's scores are written before the next use.
+    The model's own seed stays the same, so that runs differ only in who takes part. Forest and boosted trees fit
+    all runs in the same jobs, with split candidates from the table as it is; the net fits one data set at a time, so its
+    runs are submitted from a few threads and each run's scores are written before the next use.
     """
     if name not in DEFAULTS:
         raise ValueError(f"unknown model {name!r}; use one of {', '.join(DEFAULTS)}")
+    settings = config or DEFAULTS[name]
 
-    def forest(rows: DataFrame, action: CollectiveAction, runs: Sequence[Run], id_col: str) -> DataFrame:
+    def together(rows: DataFrame, action: CollectiveAction, runs: Sequence[Run], id_col: str) -> DataFrame:
+        edges = candidate_edges(train, action, features, settings.n_bins)
         changed = apply_action_runs(train, action, runs, id_col)
-        model = fit_uplift_forest(
-            changed, features, config or DEFAULTS[name], treatment, target, id_col, by=["run_id"]
-        )
+        if name == "lgbm":
+            model = fit_boosted_trees(changed, features, settings, label, by=["run_id"], edges=edges)
+        else:
+            model = fit_uplift_forest(changed, features, settings, treatment, target, id_col, by=["run_id"], edges=edges)
         return freeze(model.score(apply_action_runs(rows, action, runs, id_col)))
 
     def one_by_one(rows: DataFrame, action: CollectiveAction, runs: Sequence[Run], id_col: str) -> DataFrame:
+        # One job finds who takes part in each run, on either table.
+        cutoffs = [participation_cutoffs(side, action, runs, id_col) for side in (train, rows)]
+
         def single(run: Run) -> DataFrame:
-            changed = apply_action_runs(train, action, [run], id_col)
-            model = fit_model(name, changed, features, config, treatment, target, label, id_col)
-            return freeze(model.score(apply_action_runs(rows, action, [run], id_col)))
+            changed, mine = (
+                apply_action_runs(side, action, [run], id_col, found) for side, found in zip((train, rows), cutoffs)
+            )
+            return freeze(fit_model(name, changed, features, config, treatment, target, label, id_col).score(mine))
 
         with ThreadPoolExecutor(parallel_fits) as pool:
             return reduce(DataFrame.unionByName, pool.map(single, runs))
 
-    return forest if name == "uplift_rf" else one_by_one
+    return one_by_one if name == "mlp" else together
+
+
+def candidate_edges(train: DataFrame, action: CollectiveAction, features: Sequence[str], n_bins: int) -> list[list[float]]:
+    """Split candidates from the table as it is, and the values that an action sets features to."""
+    edges = bin_edges(train, features, n_bins)
+    for name, change in action.changes():
+        if change[0] == "=" and name in features:
+            edge = edges[list(features).index(name)]
+            edge[:] = sorted({*edge, float(change[1:])})
+    return edges

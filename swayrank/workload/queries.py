@@ -13,7 +13,8 @@ from swayrank.functions.joins import attach_one_row
 from swayrank.models import store
 from swayrank.models.attribution import background_kmeans as kmeans_centres
 from swayrank.models.attribution import shapley_attributions as shapley
-from swayrank.models.class_transform import BoostedTreesConfig, NeuralNetConfig
+from swayrank.models.boosting import BoostedTreesConfig
+from swayrank.models.class_transform import NeuralNetConfig
 from swayrank.models.forest import ForestConfig
 from swayrank.operators import action as act
 from swayrank.operators import prepare as prep
@@ -479,8 +480,8 @@ def propose_action(spark, sf_dir):
 # ---- models: fitted on the whole training side, scored on the whole test side ----
 
 MODEL_CONFIGS = {
-    "lgbm": BoostedTreesConfig(n_estimators=10, learning_rate=0.1),
-    "mlp": NeuralNetConfig(max_iter=20),
+    "lgbm": BoostedTreesConfig(),
+    "mlp": NeuralNetConfig(),
     "uplift_rf": ForestConfig(),
 }
 MODEL_RUNS = act.run_grid_keys((0.1,), smp.seed_list(2))

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from swayrank.models import store
 from swayrank.models.attribution import background_kmeans, feature_orders, shapley_attributions
-from swayrank.models.class_transform import BoostedTreesConfig, NeuralNetConfig
-from swayrank.models.forest import ForestConfig, bin_edges, fit_uplift_forest, with_bins
+from swayrank.models.boosting import BoostedTreesConfig
+from swayrank.models.class_transform import NeuralNetConfig
+from swayrank.models.forest import ForestConfig, fit_uplift_forest, with_bins
+from swayrank.models.histograms import bin_edges
 from swayrank.operators.action import CollectiveAction, Run
 from swayrank.operators.prepare import class_transform_label
 from swayrank.operators.ranking import qini_auc
