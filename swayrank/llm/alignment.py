@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swayrank.llm.bpe import _CUT, MAX_VOCABULARY_BYTES, Cache, Uneven, byte_symbols, load_vocabulary
+from swayrank.llm.bpe import _CUT, MAX_VOCABULARY_BYTES, byte_symbols, load_vocabulary
 from swayrank.llm.words import arrow_schema, record_batch
 from swayrank.session import freeze
 
@@ -32,9 +34,12 @@ SPACE = "▁"
 ID_BITS = 20  # a token is one 32-bit number: its id, and above it its length in bytes
 PAIR_BITS = 32  # a pair is one long: the first side's id, and below it the second's
 HOT_PAIRS = 1 << 19
-CACHED_UNITS = 100_000
+CACHED_UNITS = 200_000
+KEPT_LENGTH = 40  # longer units are not kept
 STEP_BYTES = 4 << 20  # of texts merged at a time; a longer text is merged alone
 
+_UNEVEN = re.compile(r"^\s| \s|\s |\s$")  # white space other than single spaces between what is visible
+
 
 def load_pieces(spark: SparkSession, path: str) -> Broadcast:
     """The piece model, read once on the driver and broadcast; its size is checked."""
@@ -44,25 +49,48 @@ def load_pieces(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(file.read())
 
 
-class Units(Cache):
-    """Tokens of units on both sides; None for a unit whose bytes a side does not give back."""
+class Units:
+    """Tokens of units on both sides, kept by the unit without its leading space in two generations.
 
-    limit = CACHED_UNITS
+    `encode` answers many units at a time: those of some texts that are not kept.
+    """
 
-    def of_text(self, text: str) -> list:
-        """The answers for the units of a space and a text."""
-        try:
-            return [*map(self.__getitem__, text.split(" "))]
-        except Uneven:
-            pass
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = CACHED_UNITS):
+        self.encode, self.limit = encode, limit
+        self.held: dict[str, object] = {}
+        self.older: dict[str, object] = {}
+
+    @staticmethod
+    def cut(text: str | None) -> list[str]:
+        """The units of a space and a text; none for null and empty."""
+        if not text:
+            return []
+        if _UNEVEN.search(text) is None:
+            return text.split(" ")
         first, *rest = _CUT.split(" " + text)
-        made = [self.answer(first)]
-        for unit in rest:
-            try:
-                made.append(self[unit])
-            except Uneven:
-                made.append(self.answer(" " + unit))
-        return made
+        return [first[1:], *rest]
+
+    def of_texts(self, texts: list[str | None]) -> list[list]:
+        """The answers for the units of each text."""
+        cut = [self.cut(t) for t in texts]
+        found: dict[str, object] = {}
+        missing = []
+        for unit in set().union(*cut):
+            value = self.held.get(unit, self)
+            if value is self:
+                value = self.older.get(unit, self)
+                if value is self:
+                    missing.append(unit)
+                    continue
+                self.held[unit] = value
+            found[unit] = value
+        new = dict(zip(missing, self.encode(missing)))
+        found.update(new)
+        self.held.update((u, v) for u, v in new.items() if len(u) <= KEPT_LENGTH)
+        if len(self.held) >= self.limit:
+            self.older, self.held = self.held, {}
+        get = found.__getitem__
+        return [[*map(get, units)] for units in cut]
 
 
 class Sides:
@@ -80,19 +108,19 @@ class Sides:
         self.first.no_padding()
         self.first.encode_special_tokens = True
         symbol_bytes = {symbol: byte for byte, symbol in byte_symbols().items()}
-        self.first_bytes = {
-            i: bytes(symbol_bytes[s] for s in token) for token, i in self.first.get_vocab(with_added_tokens=False).items()
-        }
+        self.first_bytes = [b""] * self.first.get_vocab_size(with_added_tokens=True)
+        for token, i in self.first.get_vocab(with_added_tokens=False).items():
+            self.first_bytes[i] = bytes(symbol_bytes.get(s, 0) for s in token)
         self.second = SentencePieceProcessor(model_proto=pieces)
         self.sizes = self.first.get_vocab_size(with_added_tokens=True), self.second.get_piece_size()
         self.second_bytes = [
             bytes([int(piece[3:-1], 16)]) if self.second.is_byte(i) else piece.replace(SPACE, " ").encode()
             for i, piece in ((i, self.second.id_to_piece(i)) for i in range(self.sizes[1]))
         ]
-        longest = max(map(len, [*self.first_bytes.values(), *self.second_bytes]))
-        if max(self.sizes) > 1 << ID_BITS or longest >= 1 << 32 - ID_BITS:
+        self.lengths = [np.array([len(t) for t in table], np.int64) for table in (self.first_bytes, self.second_bytes)]
+        if max(self.sizes) > 1 << ID_BITS or max(x.max() for x in self.lengths) >= 1 << 32 - ID_BITS:
             raise ValueError("a vocabulary has too many or too long tokens")
-        self.units = Units(self._unit)
+        self.units = Units(self._encode)
         numbers = [str(i) for i in range(max(self.sizes))]
         # A token's text in a group, by twice its id, plus one if it is its side's last in the group.
         self.texts = [np.array([n + end for n in numbers for end in (",", last)], object) for last in "|;"]
@@ -105,26 +133,32 @@ class Sides:
             cls._held[key] = cls(vocabulary.value, pieces.value)
         return cls._held[key]
 
-    def _unit(self, unit: str) -> tuple[bytes, bytes] | None:
-        """Tokens of a unit with its leading space, which the second side adds itself."""
-        raw, made = unit.encode(), []
-        for ids, table in (
-            (self.first.encode(unit, add_special_tokens=False).ids, self.first_bytes),
-            (self.second.encode(unit[1:]), self.second_bytes),
-        ):
-            parts = [table.get(i, b"") if isinstance(table, dict) else table[i] for i in ids]
-            if b"".join(parts) != raw or not all(parts):
-                return None
-            made.append(np.array([i | len(p) << ID_BITS for i, p in zip(ids, parts)], np.uint32).tobytes())
-        return tuple(made)
-
-    def tokens(self, text: str | None) -> tuple[bytes, bytes]:
-        """Tokens of a space and a text on both sides; none if a side does not give its bytes back."""
-        units = self.units.of_text(text) if text else []
-        if not units or None in units:
-            return b"", b""
-        first, second = zip(*units)
-        return b"".join(first), b"".join(second)
+    def _encode(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Tokens of units, each with a space before it, which the second side adds itself; None if a side does not give its bytes."""
+        if not units:
+            return []
+        first = [e.ids for e in self.first.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        sides = []
+        for rows, table in ((first, self.first_bytes), (self.second.encode(units, num_threads=1), self.second_bytes)):
+            ids = np.fromiter(chain.from_iterable(rows), np.int64)
+            packed = (ids | self.lengths[len(sides)][ids] << ID_BITS).astype(np.uint32).tobytes()
+            ends = (4 * np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))).tolist()
+            joined = [b"".join(map(table.__getitem__, r)) for r in rows]
+            sides.append(([packed[a:b] for a, b in zip([0, *ends], ends)], joined))
+        (first, a), (second, b) = sides
+        raw = ((" " + u).encode() for u in units)
+        return [(f, s) if x == r and y == r else None for f, s, x, y, r in zip(first, second, a, b, raw)]
+
+    def tokens(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Tokens of a space and each text on both sides; none if a side does not give its bytes back."""
+        made = []
+        for units in self.units.of_texts(texts):
+            if not units or None in units:
+                made.append((b"", b""))
+            else:
+                first, second = zip(*units)
+                made.append((b"".join(first), b"".join(second)))
+        return made
 
 
 class Aligned:
@@ -208,13 +242,12 @@ def linked_tokens(
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides, ids = Sides.of(*shared), batch.column("doc_id")
-            held, size, start = [], 0, 0
-            for n, t in enumerate(batch.column("text").to_pylist()):
-                held.append(sides.tokens(t))
+            texts, size, start = batch.column("text").to_pylist(), 0, 0
+            for n, t in enumerate(texts):
                 size += len(t or "")
-                if size >= step_bytes or n + 1 == len(ids):
-                    yield aligned(ids.slice(start, n + 1 - start), held, sides)
-                    held, size, start = [], 0, n + 1
+                if size >= step_bytes or n + 1 == len(texts):
+                    yield aligned(ids.slice(start, n + 1 - start), sides.tokens(texts[start : n + 1]), sides)
+                    size, start = 0, n + 1
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(each, schema)
