@@ -24,7 +24,7 @@ from pyspark.sql.types import (
 )
 
 from swayrank.functions.joins import attach_one_row, join_groups
-from swayrank.models.histograms import Layout, bin_edges, level_histograms, make_blocks
+from swayrank.models.histograms import Layout, bin_edges, level_histograms, make_blocks, packed
 from swayrank.models.histograms import walk as walk_rows
 from swayrank.session import freeze
 
@@ -312,7 +312,7 @@ def fit_uplift_forest(
     rows = train.select(
         *by, *features, F.col(treatment).cast("double").alias("_t"), F.col(target).cast("double").alias("_y"), weights.alias("_w")
     )
-    blocks = freeze(make_blocks(rows, features, layout, by, {"_t": 1, "_y": 1, "_w": count}))
+    blocks = packed(freeze(make_blocks(rows, features, layout, by, {"_t": 1, "_y": 1, "_w": count})))
     by_schema = StructType([train.schema[c] for c in by])
     found = blocks.select("key").distinct().limit(MAX_TREE_NODES)
     found = found.select("key", F.from_json("key", by_schema).alias("run")).collect() if by else found.collect()

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from swayrank.operators.action import CollectiveAction, Run, apply_attacks, eligible, participation_cutoffs, with_runs
 from swayrank.operators.order import KEY, SLICE, score_points, sort_key, with_slice
 from swayrank.operators.sampling import seeded_hash
-from swayrank.session import freeze
+from swayrank.session import freeze, share_package
 
 RUN_BLOCK = 64
 RUN_KEYS = ["run_id", "frac"]
@@ -83,6 +83,7 @@ def _signed(moves: DataFrame, points: Sequence[float]) -> DataFrame:
 
 def _by_slice(cells: DataFrame, rows: DataFrame, blocks: int, function: Callable, schema: str) -> DataFrame:
     """`function(cells of a slice, rows of a block of runs in it)`."""
+    share_package(cells.sparkSession)
     block = F.pmod(F.col("run_id"), F.lit(blocks)).alias("block")
     copies = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     left, right = copies.groupBy(SLICE, "block"), rows.select("*", block).groupBy(SLICE, "block")

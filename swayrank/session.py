@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +26,14 @@ def local_session(cores: str | int = 8, shuffle_partitions: int = 8, app: str =
     )
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it, if it is not installed."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder frozen tables go to: `spark.checkpoint.dir`, or a scratch one in local mode only."""
     context = spark.sparkContext
@@ -38,6 +49,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_scopes: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Frozen tables made inside go to one folder, which is deleted at the end; write results that read them before that.
+
+        with scratch(spark):
+            run_grid(...).write.parquet(path)
+    """
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    _scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        _scopes.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def freeze(df: DataFrame, spread: bool = False) -> DataFrame:
     """Write `df` to the shared folder once and go on from the written table.
 
@@ -49,7 +80,7 @@ def freeze(df: DataFrame, spread: bool = False) -> DataFrame:
     be multiplied (by runs, trees or background rows). Larger tables are read as they are.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{_scopes[-1] if _scopes else shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     cores = spark.sparkContext.defaultParallelism
