@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by collision counting over query-centred windows.
 
-Vectors are cut into blocks, and queries too; each pair of blocks is one group of a task. A block is indexed by
+Vectors are cut into blocks, and so are queries where there are very many; each pair of blocks is one group of a task, so a block of
+vectors moves and is indexed once for each block of queries. A block is indexed by
 `projections` random directions, each a sorted array of the vectors' projections. For a query, every array is
 entered at the query's own projection and a window around it is widened step by step (virtual rehashing: the
 window for radius R is the one for radius 1 scaled by R, so nothing is rehashed). A vector seen in at least
@@ -26,11 +27,29 @@ HALF_WIDTH = 1.1  # of a window at radius 1; a vector at distance 1 falls in wit
 THRESHOLD = 0.69  # share of the windows a vector must be in to be verified
 GROWTH = 1.4  # from one radius to the next
 VECTOR_BLOCK = 32_768
-QUERY_BLOCK = 512
+QUERY_BLOCK = 32_768
 SEED = 20_011
 FIRST_SHARE = 0.02  # of a block, in the first windows
 
 
+def lengths(gaps: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, also where squares leave the range of doubles."""
+    with np.errstate(over="ignore", under="ignore"):
+        found = np.sqrt((gaps * gaps).sum(axis=1))
+    odd = np.flatnonzero(~np.isfinite(found) | (found < 1e-140))
+    if len(odd):
+        most = np.abs(gaps[odd]).max(axis=1)
+        safe = np.where(most > 0, most, 1.0)
+        found[odd] = most * np.sqrt(((gaps[odd] / safe[:, None]) ** 2).sum(axis=1))
+    return found
+
+
+def scale_of(*parts: np.ndarray) -> float:
+    """A power of two that brings vectors whose projections would leave the range of doubles into it; dividing by it is exact."""
+    most = max(float(np.abs(p).max()) for p in parts)
+    return 1.0 if 1e-100 < most < 1e100 else 2.0 ** np.floor(np.log2(most))
+
+
 class SortedProjections:
     """The index of one block."""
 
@@ -88,8 +107,7 @@ class SortedProjections:
             new = np.flatnonzero((hits >= needed) & ~verified)
             if len(new):
                 verified[new] = True
-                gap = self.vectors[new] - query
-                found = np.sqrt((gap * gap).sum(axis=1))
+                found = lengths(self.vectors[new] - query)
                 rows.append(new)
                 distances.append(found)
                 best = np.sort(np.concatenate((best, found)))[:k]
@@ -119,17 +137,19 @@ def nearest(
     Candidates are all rows of `vectors` of the same dimension but those with the query's own id; all of them if
     there are fewer than `k`. Ties go to the smaller id. Distances are exact, in double precision, on the original
     vectors. Rows whose id or vector is null, and vectors that are empty, zero, or hold a null or a value that is
-    not finite, take no part. A repeated query row counts once, a repeated vector row once for each
-    (id, vector). Other columns are ignored. An empty table on either side gives no rows.
+    not finite, take no part. Of query rows that share an id the one whose vector comes first asks; a repeated vector row
+    counts once for each (id, vector). Other columns are ignored. An empty table on either side gives no rows.
     """
     base = freeze(usable(vectors, vec_id, embedding))
-    asked = usable(queries, vec_id, embedding).dropDuplicates(["vec_id"])
-    asked = freeze(asked.select(F.col("vec_id").alias("query_id"), "v", "dim"))
+    if base.groupBy("vec_id", F.xxhash64("v").alias("h")).count().filter("count > 1").head(1):
+        base = freeze(base.dropDuplicates(["vec_id", "v"]))  # before they meet in one block
+    asked = usable(queries, vec_id, embedding).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = freeze(asked.select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim")))
     block_count = lambda df, size: max(1, -(-df.count() // size))
     v_blocks, q_blocks = block_count(base, vector_block), block_count(asked, query_block)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = base.select(
-        "dim", F.pmod(F.xxhash64("vec_id"), F.lit(v_blocks)).cast("int").alias("vb"), every(q_blocks).alias("qb"), "vec_id", "v"
+        "dim", F.pmod(F.xxhash64("vec_id", "v"), F.lit(v_blocks)).cast("int").alias("vb"), every(q_blocks).alias("qb"), "vec_id", "v"
     )
     right = asked.select(
         "dim", every(v_blocks).alias("vb"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"), "query_id", "v"
@@ -139,15 +159,14 @@ def nearest(
         columns = ["query_id", "vec_id", "score"]
         if not len(block) or not len(batch):
             return pd.DataFrame({c: np.empty(0, "int64" if c != "score" else "float64") for c in columns})
-        if block["vec_id"].duplicated().any():  # rows with one id are always in one block
-            block = block[~block.assign(v=block["v"].map(lambda v: v.tobytes())).duplicated()]
         ids = block["vec_id"].to_numpy(np.int64)
-        index = SortedProjections(np.stack(block["v"].to_numpy()).astype(np.float64), projections, half_width, seed)
+        held, asks = (np.stack(x["v"].to_numpy()).astype(np.float64) for x in (block, batch))
+        scale = scale_of(held, asks)
+        index = SortedProjections(held / scale, projections, half_width, seed)
         made = []
-        for query_id, v in zip(batch["query_id"], batch["v"]):
-            rows, scores = index.search(
-                np.asarray(v, np.float64), k, np.flatnonzero(ids == query_id), threshold, growth
-            )
+        for query_id, v in zip(batch["query_id"], asks / scale):
+            rows, scores = index.search(v, k, np.flatnonzero(ids == query_id), threshold, growth)
+            scores = scores * scale
             first = np.lexsort((ids[rows], scores))[:k]
             made.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[rows[first]], "score": scores[first]}))
         return pd.concat(made, ignore_index=True)

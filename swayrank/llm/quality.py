@@ -14,15 +14,21 @@ from swayrank.llm.words import utf8
 
 SYMBOLS = b"#*$%&|<>"
 
-# Phrases that mark a line as boilerplate or as navigation.
+# Phrases that mark a line as boilerplate or as navigation, in English, German, French and Spanish.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "terms and conditions",
     "we use cookies", "enable javascript", "javascript is disabled", "lorem ipsum", "subscribe to our newsletter",
     "share this article", "follow us on", "powered by wordpress",
+    "alle rechte vorbehalten", "datenschutzbestimmungen", "nutzungsbedingungen", "wir verwenden cookies", "newsletter abonnieren",
+    "politique de cookies", "nous utilisons des cookies", "plan du site", "droits de reproduction",
+    "todos los derechos reservados", "aviso legal", "utilizamos cookies", "politica de privacidad",
 )
 NAVIGATION = (
     "home", "menu", "next", "previous", "back", "back to top", "read more", "click here", "log in", "login", "sign in",
     "sign up", "register", "search", "contact us", "about us", "site map", "skip to content",
+    "startseite", "weiter", "mehr lesen", "anmelden", "kontakt", "impressum", "suche",
+    "accueil", "suivant", "retour", "lire la suite", "se connecter", "rechercher",
+    "inicio", "siguiente", "anterior", "volver", "contacto", "buscar",
 )
 
 

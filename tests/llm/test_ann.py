@@ -1,10 +1,12 @@
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 
-from swayrank.llm.ann import nearest
+from swayrank.llm import ann
+from swayrank.llm.ann import SortedProjections, nearest
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -77,3 +79,31 @@ def test_one_vector_held_by_most_rows(spark):
         mine = [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank) if r.query_id == q]
         assert mine == [(i, 0.0) for i, v in rows if v == [0.5] * 8 and i != q][:10]
     assert not any(math.isnan(r.score) for r in found)
+
+
+def test_values_at_the_ends_of_the_range(spark):
+    """Distances are right where their squares are not, and one id may ask with one vector only."""
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 3e199]), (2, [-1e300, 1e300]), (3, [1e-200, 0.0]), (0, [2e200, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {(r.rank, r.vec_id): r.score for r in nearest(df.filter("vec_id = 0"), df).collect()}
+    assert found == pytest.approx({(1, 1): 3e199, (2, 3): 1e200, (3, 2): math.hypot(1e300 + 1e200, 1e300)})
+    tiny = spark.createDataFrame([(0, [1e-200, 0.0]), (1, [3e-200, 0.0]), (2, [1e-200, 1e-200])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in sorted(nearest(tiny.filter("vec_id = 0"), tiny).collect(), key=lambda r: r.rank)] == [2, 1]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables are not here")
+def test_recall_and_verified_share_on_the_table(spark):
+    """Of the table of 2,000 vectors; windows prune better where there are more vectors (see README)."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    held = np.stack(table["embedding"]).astype(np.float64)
+    index = SortedProjections(held, ann.PROJECTIONS, ann.HALF_WIDTH, ann.SEED)
+    hits = verified = 0
+    asked = np.flatnonzero(table["vec_id"] % 100 == 0)
+    for q in asked:
+        rows, scores = index.search(held[q], 10, np.array([q]), ann.THRESHOLD, ann.GROWTH)
+        verified += len(rows)
+        true = np.sqrt(((held - held[q]) ** 2).sum(axis=1))
+        true[q] = np.inf
+        hits += len(set(rows[np.argsort(scores)[:10]]) & set(np.argsort(true)[:10]))
+    assert hits >= 0.95 * 10 * len(asked)
+    assert verified <= 0.6 * len(held) * len(asked)
