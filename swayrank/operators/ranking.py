@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swayrank.functions.joins import join_groups
+from swayrank.functions.joins import join_spread
 from swayrank.operators.order import ordered_index, running_totals
+from swayrank.session import freeze
 
 CURVE_NODES = 201
 
@@ -31,25 +32,29 @@ def net_responses(n: Column, nt: Column, yt: Column, yc: Column) -> Column:
 
 
 def attach_ranks(df: DataFrame, cells: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Add `rank` and `normalised_rank` from cells that `running_totals` built over `df`."""
-    ranks = cells.select(
+    """Add `rank` and `normalised_rank` from cells that `running_totals` built over `df`, with their row count `n`.
+
+    A score that very many rows share gets its ranks by broadcast, so no task holds all rows of a score.
+    """
+    ranks = freeze(cells.select(
         *by,
         score,
+        "n",
         F.col("cum_cells").alias("rank"),
         (F.col("cum_cells") / F.col("all_cells").cast("double")).alias("normalised_rank"),
-    )
-    return join_groups(df, ranks, [*by, score], "left")
+    ))
+    return join_spread(df, ranks, [*by, score], "n")
 
 
 def dense_rank_desc(df: DataFrame, score: str = "uplift", by: Sequence[str] = ()) -> DataFrame:
     """Dense rank by descending score: the distinct scores are ranked, then looked up per row."""
-    cells = running_totals(df, score, {}, by=by)
+    cells = running_totals(df, score, {"n": F.count("*")}, by=by)
     return attach_ranks(df, cells, score, by).drop("normalised_rank")
 
 
 def normalised_rank(df: DataFrame, score: str = "uplift", by: Sequence[str] = ()) -> DataFrame:
     """Dense rank divided by the highest rank, in (0, 1]; small means targeted first."""
-    cells = running_totals(df, score, {}, by=by)
+    cells = running_totals(df, score, {"n": F.count("*")}, by=by)
     return attach_ranks(df, cells, score, by).drop("rank")
 
 

@@ -102,3 +102,18 @@ def test_groups_are_ranked_apart(spark):
     for m, rows in (("a", a), ("b", b)):
         part = rank.uplift_curve(df, by=["m"]).where(F.col("m") == m).drop("m").orderBy("node")
         assert_curve([tuple(r) for r in part.collect()], curve_by_walking(rows))
+
+
+def test_a_score_that_a_third_of_all_rows_share(spark):
+    """Ranks are right, and the rows of the hot score are spread over the join's partitions."""
+    from swayrank.functions import joins
+
+    rows = [(i, 5.0 if i % 3 == 0 else None if i % 50 == 1 else float(i), i % 2, i % 5 == 0) for i in range(6000)]
+    df = trial(spark, [(i, s, t, int(y)) for i, s, t, y in rows])
+    distinct = sorted({s for _, s, _, _ in rows if s is not None}, reverse=True)
+    place = {s: n + 1 for n, s in enumerate(distinct)} | {None: len(distinct) + 1}
+    found = {r["ID"]: r["rank"] for r in rank.dense_rank_desc(df).collect()}
+    assert found == {i: place[s] for i, s, _, _ in rows}
+    facts = spark.createDataFrame([(5.0, 2000, 1)] + [(float(i), 1, 2) for i in range(6, 4000)], "uplift double, n long, x int")
+    text = joins.join_spread(df, facts, ["uplift"], "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in text and text.count("Join") == 2
