@@ -62,12 +62,12 @@ def missing_cells(results: DataFrame, fracs: Sequence[float] = GRID_FRACTIONS) -
 
 
 def with_origin(agg: DataFrame, values: Sequence[str] = ("avg_delta_qini", "avg_ci_low", "avg_ci_high")) -> DataFrame:
-    """Every series with a point (0, 0) in front."""
+    """Every series with a point (0, 0) in front, ordered by share."""
     points = agg.select(*SERIES_KEYS, "frac", *values)
     origin = distinct_series(agg).select(
         *SERIES_KEYS, F.lit(0.0).alias("frac"), *[F.lit(0.0).alias(v) for v in values]
     )
-    return origin.unionByName(points)
+    return origin.unionByName(points).orderBy(*SERIES_KEYS, "frac")
 
 
 def rank_decrease_series(agg: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from swayrank.models.attribution import background_kmeans, shapley_attributions
+from swayrank.models.attribution import background_kmeans, net_attributions, shapley_attributions
 from swayrank.models.store import UpliftModel, fit_model, save_model
 from swayrank.operators.ranking import qini_auc, uplift_curve
 from swayrank.operators.report import feature_report
@@ -18,9 +18,10 @@ from swayrank.session import freeze
 
 @dataclass(frozen=True)
 class ExplainConfig:
-    """Which rows of net and forest are explained and against how many background rows.
+    """Which rows of net and forest are explained and against how many background rows (centres for the net).
 
-    Their cost is rows x 2 x permutations x (features + 1) x background scored variants. Boosted trees need neither.
+    A forest costs rows x 2 x permutations x (features + 1) x background scored variants, the net rows x background gradients.
+    Boosted trees need neither.
     """
 
     mlp_rows: int = 1000
@@ -50,10 +51,9 @@ def explain(
         return model.attributions(slim, id_col)
     if model.name == "mlp":
         background = background_kmeans(slim, features, config.background, config.seed)
-        chosen = sample_k(slim, id_col, config.mlp_rows, config.seed)
-    else:
-        background = sample_k(slim, id_col, config.background, config.seed).select(*features)
-        chosen = head_by(slim, id_col, config.forest_rows)
+        return net_attributions(model, sample_k(slim, id_col, config.mlp_rows, config.seed), background, id_col)
+    background = sample_k(slim, id_col, config.background, config.seed).select(*features)
+    chosen = head_by(slim, id_col, config.forest_rows)
     return shapley_attributions(
         model.margin, chosen, freeze(background), features, id_col, config.n_permutations, config.seed
     )

@@ -196,6 +196,12 @@ ORACLE["load_campaign"] = with_campaign(
     f"SELECT ID, segment, treatment, visit, {FEATURE_COLS}, history_segment, channel, zip_code FROM campaign")
 ORACLE["join_on_id"] = with_campaign(f"SELECT ID, {FEATURE_COLS}, visit, segment FROM campaign")
 ORACLE["write_read_table"] = with_campaign(f"SELECT ID, segment, {FEATURE_COLS} FROM campaign")
+ORACLE["sketched_percentiles"] = """SELECT feature, name, true AS within
+FROM (VALUES ('recency'), ('history'), ('newbie')) f(feature), (VALUES ('p10'), ('p20'), ('p80'), ('p90')) q(name)"""
+ORACLE["scan_with_quarantine"] = f"""WITH {TRIAL_SQL}
+SELECT ID, CASE WHEN ID % 100 <> 0 THEN segment END AS segment, CASE WHEN ID % 100 <> 0 THEN recency END AS recency,
+  CASE WHEN ID % 100 <> 0 THEN round(CAST(history AS DOUBLE), 6) + 0.0 END AS history, CASE WHEN ID % 100 = 0 THEN 'type of history' ELSE '' END AS faults
+FROM campaign"""
 ORACLE["resume_grid"] = with_scored(
     f"""SELECT run_id, {RESULT_COLUMNS} FROM results
 UNION ALL

@@ -21,14 +21,16 @@ from swayrank.operators import prepare as prep
 from swayrank.operators import ranking as rank
 from swayrank.operators import report as rep
 from swayrank.operators import sampling as smp
+from swayrank.operators import sketches as skt
 from swayrank.operators import stats as sts
 from swayrank.plans import experiment as exp
 from swayrank.plans.prepare import Prepared, prepare_email
 from swayrank.plans.refit import fixed_score, refitted
 from swayrank.plans.resume import finished_results, run_grid_into
-from swayrank.plans.train import ExplainConfig, train_and_explain
+from swayrank.plans.train import ExplainConfig, explain, train_and_explain
 from swayrank.session import freeze, shared_folder
 from swayrank.sources import tables as src
+from swayrank.sources.checked import read_checked
 from swayrank.workload.campaign import (
     ALL_ARMS,
     ARM_VALUES,
@@ -468,6 +470,33 @@ def feature_report(spark, sf_dir):
     return rounded(rep.feature_report(attributions(spark, sf_dir)))
 
 
+@query
+def sketched_percentiles(spark, sf_dir):
+    """Whether each percentile from merged sketches of the channels stands within the stated rank error of its place."""
+    rows = campaign(spark, sf_dir)
+    merged = skt.merge_sketches(skt.quantile_sketches(rows, FEATURES, by=["channel"]))
+    wide = skt.sketch_quantiles(merged, sts.PROPOSAL_QUANTILES)
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(q).alias("q"), F.col(n).alias("at")) for n, q in sts.PROPOSAL_QUANTILES.items()])
+    found = wide.select("feature", F.inline(pairs))  # one row per feature and percentile
+    ranks = sts.feature_values(rows, FEATURES).join(F.broadcast(found), "feature").groupBy("feature", "name", "q").agg(
+        F.avg((F.col("value") < F.col("at")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("at")).cast("double")).alias("upto")
+    )
+    error = F.lit(skt.rank_error())
+    return ranks.select("feature", "name", ((F.col("below") - error <= F.col("q")) & (F.col("q") <= F.col("upto") + error)).alias("within"))
+
+
+@query
+def scan_with_quarantine(spark, sf_dir):
+    """Campaign rows written as text with every hundredth history spoilt: bad lines are set aside, the others are as they were."""
+    rows = campaign(spark, sf_dir).select("ID", "segment", "recency", "history")
+    spoilt = rows.withColumn("history", F.when(F.col("ID") % 100 == 0, F.concat(F.lit("x"), "history")).otherwise(F.col("history").cast("string")))
+    path = src.write_table(spoilt, scratch(spark, "spoilt.csv"))
+    checked = read_checked(spark, path, rows.schema)
+    bad = checked.bad.select(F.substring_index("line", ",", 1).cast("long").alias("ID"), F.array_join("faults", ";").alias("faults"))
+    good = checked.good.select("ID", "segment", "recency", "history", F.lit("").alias("faults"))
+    return rounded(good.unionByName(bad, allowMissingColumns=True))
+
+
 @query
 def propose_action(spark, sf_dir):
     """Proposals for a rising, a falling and an absent relation of every feature."""
@@ -610,6 +639,13 @@ def ranking_comparison_forest(spark, sf_dir):
     return rounded(exp.ranking_comparison(scored, RECENCY_ACTION, rescore, trial))
 
 
+@query
+def net_attributions(spark, sf_dir):
+    """Expected gradients of the net on 1,000 training rows against 100 centres, as published."""
+    model, sides = _fitted(spark, sf_dir, "mlp")
+    return rounded(explain(model, sides.train))
+
+
 @query
 def compare_models(spark, sf_dir):
     """Qini of every stored model on one test table."""
