@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from swayrank.llm.quality import BOILERPLATE, NAVIGATION
+from swayrank.llm.sharding import fill_table
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -168,3 +171,13 @@ chains(word, place) AS (
   SELECT c.word, f.form FROM chains c JOIN formed f ON c.place = f.word WHERE f.form IS NOT NULL)
 SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.place AS root
 FROM formed f JOIN chains c ON f.word = c.word JOIN formed last ON c.place = last.word AND last.form IS NULL"""
+
+
+def placement(shards: Sequence[str], size: int, table: str = "documents") -> str:
+    """The lookup table is the one of the operator, as a list; its filling turn by turn is tested on its own."""
+    names = ", ".join(f"'{name}'" for name in shards)
+    return f"""
+WITH held AS (SELECT [{names}] AS names, [{", ".join(map(str, fill_table(shards, size)))}] AS slots),
+placed AS (
+  SELECT doc_id, source, ((('0x' || left(md5(coalesce(doc_id::VARCHAR, 'null')), 15))::BIGINT) % {size})::INT AS slot FROM {table})
+SELECT doc_id, source, slot, names[slots[slot + 1] + 1] AS shard FROM placed, held"""

@@ -15,7 +15,7 @@ from swayrank.llm.licenses import scan_licenses
 from swayrank.llm.mixing import mix
 from swayrank.llm.packing import pack_documents
 from swayrank.llm.quality import line_first
-from swayrank.llm.sharding import place
+from swayrank.llm.sharding import TABLE_SIZE, place
 from swayrank.llm.simhash import near_duplicates
 from swayrank.llm.spelling import spelling_forms
 from swayrank.llm.substrings import remove_repeats
@@ -58,7 +58,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return line_first(table(spark, folder, "documents").select("doc_id", "text")).drop("text", "cleaned")
 
 
-@query("op4_shard_placement")
+@query("op4_shard_placement", oracle.placement(SHARDS, TABLE_SIZE))
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """The slot and shard of every document, for 128 shards in 65,537 slots."""
     return place(table(spark, folder, "documents").select("doc_id", "source"), "doc_id", SHARDS)
