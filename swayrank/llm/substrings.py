@@ -8,8 +8,9 @@
    joined with its neighbours into a passage of the smallest document that has it.
 4. Passages are dealt to shards by owner. Each shard compiles its passages, in blocks of half a window, into
    an Aho-Corasick automaton and streams the slices of that shard through it. Any window of a passage
-   contains a whole block, so hits lead to every occurrence; windows around a hit are checked against
-   the confirmed ones and marked where they belong to a smaller document.
+   contains a whole block, so hits lead to every occurrence: a hit is followed to both sides as far as text and
+   passage have the same words, and marks them if they make a window and the passage's document is smaller.
+   Words decide, not hashes.
 5. Marked words are removed.
 
 Documents with the same words as one with a smaller id lose everything (if they have a window at all), so
@@ -40,6 +41,7 @@ PHRASE = 10  # words of the phrases that anchors are chosen from
 SHARD_CHARS = 1_000_000  # passage text per automaton, about 60 MB compiled
 STREAM_CHARS = 8_000_000  # slice text per task
 LOC_BITS = 32
+PAIRS = 1 << 15  # of hits and surroundings compared at a time
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -173,42 +175,74 @@ def _spell(words: bytes) -> str:
     return " " + words.decode("latin-1") + " "
 
 
+class Contexts:
+    """An automaton of the blocks of passages, and where each block stands: the words around it and the smallest document."""
+
+    GAP = -2  # stands where a passage ends; -1 is a word that no passage has
+
+    def __init__(self, passages: pd.DataFrame, window: int):
+        self.window, self.block = window, window // 2
+        self.side = window - self.block
+        self.number: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        phrases: dict[str, dict[bytes, int]] = {}
+        gap = np.full(self.side, self.GAP, np.int32)
+        for first, text in zip(passages["doc_id"], passages["words"]):
+            words = text.split()
+            ids = np.concatenate((gap, [self.number.setdefault(w, len(self.number)) for w in words], gap)).astype(np.int32)
+            for n, phrase in enumerate(_blocks(words, self.block)):
+                around = ids[n * self.block : (n + 1) * self.block + 2 * self.side].tobytes()
+                found = phrases.setdefault(phrase, {})
+                found[around] = min(int(first), found.get(around, int(first)))  # equal surroundings count once
+        for k, phrase in enumerate(phrases):
+            self.automaton.add_word(phrase, k)
+        self.automaton.make_automaton()
+        sizes = [len(f) for f in phrases.values()]
+        self.starts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        self.firsts = np.fromiter((first for f in phrases.values() for first in f.values()), np.int64)
+        joined = b"".join(around for f in phrases.values() for around in f)
+        self.words = np.frombuffer(joined, np.int32).reshape(-1, self.block + 2 * self.side)
+
+    def covered(self, text: bytes, doc_id: int) -> Iterator[tuple[int, int]]:
+        """(start, stop): words of `text` covered by a window that a smaller document has."""
+        spelled = _spell(text)
+        hits = np.array(list(self.automaton.iter(spelled)), np.int64).reshape(-1, 2)
+        if not len(hits):
+            return
+        spaces = np.flatnonzero(np.frombuffer(spelled.encode("latin-1"), np.uint8) == 32)
+        begins = np.searchsorted(spaces, hits[:, 0]) - self.block  # the word each block begins with
+        pad = np.full(self.side, -1, np.int32)
+        ids = np.concatenate((pad, np.fromiter((self.number.get(w, -1) for w in text.split()), np.int32), pad))
+        change = np.zeros(len(spaces) + 1, np.int64)
+        counts = np.diff(self.starts)[hits[:, 1]]
+        ends = np.cumsum(counts)
+        step = 0
+        while step < len(hits):  # some hits at a time: each meets all surroundings of its block
+            upto = max(step + 1, int(np.searchsorted(ends, (ends[step - 1] if step else 0) + PAIRS)))
+            n = counts[step:upto]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[hits[step:upto, 1]], n)
+            begin = np.repeat(begins[step:upto], n)
+            smaller = self.firsts[place] < doc_id
+            place, begin = place[smaller], begin[smaller]
+            same = ids[begin[:, None] + np.arange(self.words.shape[1])] == self.words[place]
+            left = np.logical_and.accumulate(same[:, : self.side][:, ::-1], axis=1).sum(axis=1)
+            right = np.logical_and.accumulate(same[:, self.side + self.block :], axis=1).sum(axis=1)
+            whole = left + self.block + right >= self.window
+            np.add.at(change, (begin - left)[whole], 1)
+            np.add.at(change, (begin + self.block + right)[whole], -1)
+            step = upto
+        inside = np.flatnonzero(np.cumsum(change) > 0)
+        for run in np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1):
+            if len(run):
+                yield int(run[0]), int(run[-1] + 1)
+
+
 def _locate(passages: pd.DataFrame, slices: pd.DataFrame, window: int) -> Iterator[tuple[int, int, int, int]]:
     """(doc_id, tag, start, stop): words of `slices` covered by a window that a smaller document has."""
-    block = window // 2
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    known_hash, known_first = [], []
-    for first, words in zip(passages["doc_id"], passages["words"]):
-        words = words.split()
-        for phrase in _blocks(words, block):
-            automaton.add_word(phrase)
-        made = run_hashes(word_hashes(words), window)
-        known_hash.append(made)
-        known_first.append(np.full(len(made), first, np.int64))
-    automaton.make_automaton()
-    hashes, firsts = np.concatenate(known_hash), np.concatenate(known_first)
-    order = np.lexsort((firsts, hashes))
-    hashes, firsts = hashes[order], firsts[order]
+    contexts = Contexts(passages, window)
     for doc_id, tag, start, text in zip(slices["doc_id"], slices["tag"], slices["start"], slices["words"]):
-        spelled = _spell(text)
-        ends = np.fromiter((end for end, _ in automaton.iter(spelled)), np.int64)
-        if not len(ends):
-            continue
-        spaces = np.flatnonzero(np.frombuffer(spelled.encode("latin-1"), np.uint8) == 32)
-        count = len(spaces) - 1
-        after = np.searchsorted(spaces, ends)  # the word that follows the block
-        change = np.zeros(count + 2, np.int64)
-        np.add.at(change, np.maximum(after - window, 0), 1)
-        np.add.at(change, np.maximum(after - block + 1, 0), -1)
-        candidate = np.flatnonzero(np.cumsum(change)[: max(0, count - window + 1)] > 0)
-        if not len(candidate):
-            continue
-        own = run_hashes(word_hashes(text.split()), window)[candidate]
-        place = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-        hit = candidate[(hashes[place] == own) & (firsts[place] < doc_id)]
-        if len(hit):
-            for run in np.split(hit, np.flatnonzero(np.diff(hit) > window) + 1):
-                yield int(doc_id), int(tag), int(start + run[0]), int(start + run[-1] + window)
+        for a, b in contexts.covered(text, int(doc_id)):
+            yield int(doc_id), int(tag), int(start + a), int(start + b)
 
 
 def _grid(passages: DataFrame, slices: DataFrame, window: int, shard_chars: int, stream_chars: int) -> DataFrame:

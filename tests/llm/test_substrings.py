@@ -4,10 +4,11 @@ import re
 
 import pytest
 
-from swayrank.llm.substrings import remove_repeats
+from swayrank.llm.substrings import Contexts, remove_repeats
 from swayrank.llm.words import run_hashes, sliding_min
 
 import numpy as np
+import pandas as pd
 
 SCHEMA = "doc_id long, text string"
 
@@ -78,6 +79,19 @@ def test_edge_cases(spark):
     assert remove_repeats(df.limit(0), 50).collect() == []
 
 
+def test_words_decide_where_hashes_would_agree():
+    """Only the words of passages matter: a text with one word changed loses what is left of it, and no more."""
+    words = [b"w%d" % (i % 17) for i in range(60)]
+    contexts = Contexts(pd.DataFrame({"doc_id": [5], "words": [b" ".join(words)]}), 10)
+    assert list(contexts.covered(b" ".join(words), 6)) == [(0, 60)]
+    assert list(contexts.covered(b" ".join(words), 5)) == []
+    other = words[:20] + [b"x"] + words[21:29] + [b"y"] + words[30:]
+    assert list(contexts.covered(b" ".join([b"a", *other, b"b"]), 6)) == [(1, 21), (31, 61)]
+    same = [b"the"] * 5000
+    contexts = Contexts(pd.DataFrame({"doc_id": [5, 3], "words": [b" ".join(same), b" ".join(same[:30])]}), 10)
+    assert len(contexts.firsts) < 10 and list(contexts.covered(b" ".join(same), 4)) == [(0, 5000)]
+
+
 def test_run_hashes_depend_on_words_and_order():
     h = np.arange(100, dtype=np.uint64)
     twice = np.concatenate((h, h))
