@@ -37,21 +37,39 @@ BASE = (
     Template("apache phrase", "apache-2", "apache license version 2", True),
     Template("cc by nc phrase", "cc-by-nc", "cc by nc", True),
 )
-TEMPLATES = (
-    Template("mit grant", "mit", "released under <<opt>>the<<end>> mit license"),
-    Template("mit text", "mit", """
+MIT_GRANT = """
         permission is hereby granted free of charge to any person obtaining a copy of this software and associated
         documentation files the software to deal in the software without restriction including without limitation the
         rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit
         persons to whom the software is furnished to do so subject to the following conditions the above copyright
         notice and this permission notice <<opt>>including the next paragraph<<end>> shall be included in all copies
-        or substantial portions of the software"""),
-    Template("isc text", "isc", """
+        or substantial portions of the software"""
+ISC_GRANT = """
         permission to use copy modify and <<opt>>or<<end>> distribute this software for any purpose with or without fee
-        is hereby granted provided that the above copyright notice and this permission notice appear in all copies"""),
-    Template("bsd text", "bsd", """
+        is hereby granted provided that the above copyright notice and this permission notice appear in all copies"""
+BSD_GRANT = """
         redistribution and use in source and binary forms with or without modification are permitted provided that the
-        following conditions are met"""),
+        following conditions are met"""
+BSD_CONDITIONS = """
+        <<opt>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and the
+        following disclaimer <<opt>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list
+        of conditions and the following disclaimer in the documentation and or other materials provided with the
+        distribution"""
+BSD_ENDORSEMENT = """
+        <<opt>>3<<end>> neither the name <<opt>>s<<end>> of <<var max=12>> nor the names of <<var max=4>> contributors may be used to
+        endorse or promote products derived from this software without specific prior written permission"""
+BSD_DISCLAIMER = """
+        this software is provided by <<var max=10>> as is and any express or implied warranties including but not limited to
+        the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall
+        <<var max=10>> be liable for any direct indirect incidental special exemplary or consequential damages including but
+        not limited to procurement of substitute goods or services loss of use data or profits or business interruption
+        however caused and on any theory of liability whether in contract strict liability or tort including negligence or
+        otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""
+TEMPLATES = (
+    Template("mit grant", "mit", "released under <<opt>>the<<end>> mit license"),
+    Template("mit text", "mit", MIT_GRANT),
+    Template("isc text", "isc", ISC_GRANT),
+    Template("bsd text", "bsd", BSD_GRANT),
     Template("apache grant", "apache-2", "licensed under the apache license version 2 <<opt>>0<<end>> <<opt>>the license<<end>>"),
     Template("apache notice", "apache-2", """
         licensed under the apache license version 2 0 the license you may not use <<opt>>this file<<end>> <<var max=6>>
@@ -78,6 +96,35 @@ TEMPLATES = (
     Template("cc by nc long", "cc-by-nc", "creative commons attribution non commercial"),
     Template("cc by nc one word", "cc-by-nc", "creative commons attribution noncommercial"),
     Template("unlicense", "unlicense", "this is free and unencumbered software released into the public domain"),
+    Template("mit whole", "mit", MIT_GRANT + """
+        the software is provided as is without warranty of any kind express or implied including but not limited to the
+        warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<opt>>the<<end>>
+        <<var max=8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise
+        arising from out of or in connection with the software or the use or other dealings in the software"""),
+    Template("isc whole", "isc", ISC_GRANT + """
+        the software is provided as is and <<var max=8>> <<opt>>disclaims<<end>> <<opt>>disclaim<<end>> all warranties with regard to
+        this software including all implied warranties of merchantability and fitness in no event shall <<var max=8>> be
+        liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of
+        use data or profits whether in an action of contract negligence or other tortious action arising out of or in
+        connection with the use or performance of this software"""),
+    Template("bsd 2 whole", "bsd-2", BSD_GRANT + BSD_CONDITIONS + BSD_DISCLAIMER),
+    Template("bsd 3 whole", "bsd-3", BSD_GRANT + BSD_CONDITIONS + BSD_ENDORSEMENT + BSD_DISCLAIMER),
+    Template("zlib whole", "zlib", """
+        this software is provided as is without any express or implied warranty in no event will <<var max=8>> be held liable
+        for any damages arising from the use of this software permission is granted to anyone to use this software for any
+        purpose including commercial applications and to alter it and redistribute it freely subject to the following
+        restrictions <<opt>>1<<end>> the origin of this software must not be misrepresented you must not claim that you
+        wrote the original software if you use this software in a product an acknowledgment in the product documentation
+        would be appreciated but is not required <<opt>>2<<end>> altered source versions must be plainly marked as such
+        and must not be misrepresented as being the original software <<opt>>3<<end>> this notice may not be removed or
+        altered from any source distribution"""),
+    Template("apache whole notice", "apache-2", """
+        licensed under the apache license version 2 0 the license you may not use <<opt>>this file<<end>> <<var max=6>> except in
+        compliance with the license you may obtain a copy of the license at <<opt>>http<<end>> <<opt>>https<<end>> www apache
+        org licenses license 2 0 <<opt>>html<<end>> <<opt>>txt<<end>> unless required by applicable law or agreed to in writing
+        software distributed under the license is distributed on an as is basis without warranties or conditions of any
+        kind either express or implied see the license for the specific language governing permissions and limitations
+        under the license"""),
     Template("spdx mit", "mit", "spdx license identifier mit"),
     Template("spdx apache", "apache-2", "spdx license identifier apache 2 0"),
     Template("spdx gpl", "gpl-3", "spdx license identifier gpl 3 0 <<opt>>only<<end>> <<opt>>or later<<end>>"),

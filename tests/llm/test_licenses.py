@@ -107,3 +107,35 @@ def test_counts_places_and_edge_cases(spark):
 def test_bad_markup_is_refused(markup):
     with pytest.raises(ValueError):
         Automaton((Template("bad", "bad", markup),))
+
+
+BSD = """Copyright (c) 2020, The Authors. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+
+{one}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+{two}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT {holder} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
+OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+THIRD = """{three}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+"""
+
+
+def test_whole_licences_are_told_apart(spark):
+    """Two and three clauses, numbered or not; a changed word leaves only the grant."""
+    two = BSD.format(one="1. ", two="2. ", third="", holder="OWNER")
+    three = BSD.format(one="* ", two="* ", third=THIRD.format(three=""), holder="HOLDER")
+    numbered = BSD.format(one="1. ", two="2. ", third=THIRD.format(three="3. "), holder="HOLDERS")
+    changed = three.replace("EXEMPLARY", "EXPECTED")
+    rows = list(enumerate([two, three, numbered, changed]))
+    found = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i].labels for i in range(4)] == ["bsd,bsd-2", "bsd,bsd-3", "bsd,bsd-3", "bsd"]
+    assert min(found[i].score for i in range(3)) > 0.95 and found[3].score < 0.2
