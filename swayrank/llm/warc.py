@@ -8,7 +8,8 @@ Conversion reads the version block of an ARC file for the names of its header fi
 declared length, and synthesises what WARC has and ARC lacks: record identifiers, ISO timestamps, record types,
 block and payload digests. Blocks are bytes throughout; nothing is decoded but header lines. What is not a record is kept apart
 and reported (`arc_faults`), the records after it are found again. Records with equal payloads become revisits of
-the one with the smallest page id. Only digests and places are shuffled to find those, and files to apply them.
+the one with the smallest page id. Only digests and places are shuffled to find those, and files to apply them where they are very
+many.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ RECORD_END = b"\r\n\r\n"
 MIN_SHARED_BYTES = 100
 FLUSH_BYTES = 4_000_000
 CHUNK = 1 << 16
+MAX_BROADCAST_REVISITS = 100_000  # about 20 MB
 FILE_BYTES = 32 << 20  # of compressed records, after which a file ends
 LEVEL = 6
 #: A gzip member without content: what Spark's writer puts after each file, since it must put something.
@@ -420,7 +422,9 @@ def convert(
                     yield from map(_one_file, files.add(_member(record)))
         yield from map(_one_file, files.end())
 
-    files = _files(spark, arc_path).join(revisits, "path", "left")
+    # Files stay where they are read as long as the list of revisits is small enough to go to them.
+    listed = first.agg(F.sum(F.col("n") - 1)).first()[0] or 0
+    files = _files(spark, arc_path).join(F.broadcast(revisits) if listed <= MAX_BROADCAST_REVISITS else revisits, "path", "left")
     return _write(files.mapInArrow(each, "value binary"), warc_path)
 
 

@@ -25,8 +25,9 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("versions,parts,file_bytes", [((1,), 1, 300), ((2,), 3, 1), ((1, 2), 5, warc.FILE_BYTES)])
-def test_round_trip(spark, versions, parts, file_bytes):
+@pytest.mark.parametrize("versions,parts,file_bytes,listed", [((1,), 1, 300, 0), ((2,), 3, 1, 100), ((1, 2), 5, warc.FILE_BYTES, 100)])
+def test_round_trip(spark, monkeypatch, versions, parts, file_bytes, listed):
+    monkeypatch.setattr(warc, "MAX_BROADCAST_REVISITS", listed)
     df = spark.createDataFrame(ROWS, SCHEMA).repartition(parts).selectExpr("*", "1 as path", "2 as digest", "'x' as payload")
     found = warc.archive_pages(df, versions=versions, file_bytes=file_bytes).collect()
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest) for r in found), key=str)
