@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from helpers import planted_trial
 from pyspark.sql import functions as F
@@ -72,6 +73,24 @@ def test_bootstrap_weights_have_mean_and_variance_one(spark):
     assert mean == pytest.approx(1.0, abs=0.02) and var == pytest.approx(1.0, abs=0.04)
 
 
+def test_weights_drawn_in_tasks_are_those_of_the_columns(spark):
+    from swayrank.models.forest import POISSON_ONE, bootstrap_draw, bootstrap_weight, drawn_weights
+
+    rows = spark.range(20000).withColumnRenamed("id", "ID")
+    found = rows.select(bootstrap_draw(F.lit(3), "ID", 42).alias("d"), bootstrap_weight(F.lit(3), "ID", 42).alias("w")).toPandas()
+    assert drawn_weights(found["d"].to_numpy()).tolist() == found["w"].tolist()
+    assert drawn_weights(np.array([0.0, *POISSON_ONE, 1.0])).tolist() == [0, 1, 2, 3, 4, 5, 6, 7, 8, 8]
+
+
+def test_known_candidates_are_not_looked_for_again():
+    from swayrank.plans.refit import candidate_edges
+
+    known = [[1.0, 4.0], [2.0]]
+    action = CollectiveAction({"a": ">1"}, [{"a": "=3"}, {"b": "+1"}], 0.1)
+    assert candidate_edges(None, action, ["a", "b"], 8, known) == [[1.0, 3.0, 4.0], [2.0]]
+    assert known == [[1.0, 4.0], [2.0]]
+
+
 def test_bins_put_values_and_nulls_where_the_cuts_say(spark):
     df = spark.createDataFrame([(1.0, 7.0), (2.0, 7.0), (5.0, 7.0), (None, 7.0)], "a double, b double")
     edges = bin_edges(df, ["a", "b"], 4)
