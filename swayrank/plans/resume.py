@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from swayrank.operators.action import CollectiveAction, Run
-from swayrank.plans.experiment import Trial, run_grid
+from swayrank.plans.experiment import Trial, ranked_cells, run_grid
 from swayrank.plans.refit import Rescore
 from swayrank.sources.tables import RESULT_SCHEMA, write_partitions
 
@@ -63,18 +63,21 @@ def open_runs(spark: SparkSession, folder: str, study: str, runs: Sequence[Run])
 
 def run_grid_into(
     folder: str, scored_test: DataFrame, action: CollectiveAction, runs: Sequence[Run], rescore: Rescore, trial: Trial,
-    batch_runs: int = 100,
+    batch_runs: int = 100, baseline: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """`run_grid` with its results kept in `folder`; returns the rows of this study's runs.
 
-    Runs already finished there are not run again. One grid at a time may write to a folder.
+    Runs already finished there are not run again. One grid at a time may write to a folder. All batches start from one `baseline`:
+    what `ranked_cells` made of `scored_test`, worked out here unless given.
     """
     spark, study = scored_test.sparkSession, study_key(action, trial)
     left = open_runs(spark, folder, study, runs)
+    if left and baseline is None:
+        baseline = ranked_cells(scored_test, trial)
     for start in range(0, len(left), batch_runs):
         part = left[start : start + batch_runs]
         batch = hashlib.md5(json.dumps([study, [(r.run_id, r.seed, r.frac) for r in part]]).encode()).hexdigest()
-        rows = run_grid(scored_test, action, part, rescore, trial).withColumn("batch", F.lit(batch))
+        rows = run_grid(scored_test, action, part, rescore, trial, baseline).withColumn("batch", F.lit(batch))
         write_partitions(rows, folder, [*STUDY, "batch"])
         names = (trial.dataset, trial.model, action.feature, study)
         cells = spark.createDataFrame([(*names, r.run_id, r.seed, float(r.frac), batch) for r in part], CELL_SCHEMA)

@@ -87,3 +87,21 @@ def test_write_results_keeps_other_studies(spark, tmp_path, name):
         write_results(spark.createDataFrame(rows, RESULT_SCHEMA), folder)
     found = {(r.model, r.target_feature, r.qini_coeff) for r in read_results(spark, folder).collect()}
     assert found == {("lgbm", "a", 4.0), ("mlp", "a", 2.0), ("mlp", "b", 3.0)}
+
+
+def test_batches_share_one_baseline(spark, scored, tmp_path, monkeypatch):
+    made, trial = [], exp.Trial("d", "m")
+
+    rank = exp.ranked_cells
+
+    def ranked(table, names):
+        made.append(names)
+        return rank(table, names)
+
+    monkeypatch.setattr(resume, "ranked_cells", ranked)
+    whole = by_run(exp.run_grid(scored, ACTION, RUNS, FixedScore(with_score), trial).collect())
+    monkeypatch.setattr(exp, "ranked_cells", None)  # a grid that is given its baseline does not rank again
+    found = resume.run_grid_into(str(tmp_path / "kept"), scored, ACTION, RUNS, FixedScore(with_score), trial, batch_runs=2)
+    rows = by_run(found.collect())
+    assert set(rows) == set(whole) and all(rows[r] == pytest.approx(whole[r]) for r in whole)
+    assert len(made) == 1
