@@ -19,7 +19,7 @@ from functools import cached_property
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-CACHED_UNITS = 250_000
+CACHED_UNITS = 400_000
 MARKS = ".,!?;:"
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -57,10 +57,10 @@ class Cache(dict):
         self.older: dict[str, object] = {}
 
     def __missing__(self, unit: str):
-        if not unit or unit[0].isspace() or unit[-1].isspace():
-            raise Uneven
-        value = self.older.get(unit, self)
-        if value is self:
+        value = self.older.get(unit)
+        if value is None:
+            if not unit or unit[0].isspace() or unit[-1].isspace():
+                raise Uneven
             value = self.answer(" " + unit)
         if len(self) >= CACHED_UNITS:
             self.older = dict(self)
