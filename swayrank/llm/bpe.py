@@ -19,7 +19,7 @@ from functools import cached_property
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-CACHED_UNITS = 400_000
+CACHED_UNITS = 330_000
 MARKS = ".,!?;:"
 MAX_VOCABULARY_BYTES = 64 << 20
 
