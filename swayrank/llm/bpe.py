@@ -20,12 +20,15 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 CACHED_UNITS = 330_000
+KEPT_PIECES, PIECE_CHARS = 30_000, 64  # of units that are no plain words; some 5 MB
 MARKS = ".,!?;:"
 MAX_VOCABULARY_BYTES = 64 << 20
 
 assert sys.byteorder == "little" and array("I").itemsize == 4  # ids are little-endian unsigned 32-bit numbers
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Pre-tokens of Latin letters, digits or ASCII marks, and lone line breaks. Apostrophes are left out: they may start a contraction.
+_PIECE = re.compile(r" ?(?:[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)|\n(?!\s)")
 
 
 class Uneven(ValueError):
@@ -158,6 +161,22 @@ def is_plain_word(word: str) -> bool:
     return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
+class Pieces(dict):
+    """The ids of pre-tokens of up to `PIECE_CHARS` characters, forgetting everything once `KEPT_PIECES` are held."""
+
+    def __init__(self, answer: Callable[[str], bytes]):
+        super().__init__()
+        self.answer = answer
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.answer(piece)
+        if len(piece) <= PIECE_CHARS:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Vocabulary:
     """One vocabulary in one Python worker."""
 
@@ -176,6 +195,7 @@ class Vocabulary:
         added = [t["content"] for t in model.get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.symbols = byte_symbols()
+        self.pieces = Pieces(self._piece)
         self.marks = {mark: self._encode(mark) for mark in MARKS}
         self.counts, self.encoded = Cache(self._count), Cache(self._ids)
 
@@ -209,17 +229,31 @@ class Vocabulary:
 
     def _spell(self, unit: str) -> str:
         """The symbols of a unit that is a single pre-token."""
+        if unit.isascii() and unit[1:].isalpha():  # letters stand for themselves
+            return self.symbols[ord(unit[0])] + unit[1:]
         return unit.encode().decode("latin-1").translate(self.symbols)
 
     def _ids(self, unit: str) -> bytes:
-        if is_plain_word(unit[1:] if unit[0] == " " else unit):
-            return array("I", [t.id for t in self.model.tokenize(self._spell(unit))]).tobytes()
-        if unit[0] == " " and unit[-1] in MARKS and is_plain_word(unit[1:-1]):
-            return self.encoded[unit[1:-1]] + self.marks[unit[-1]]
+        spaced = unit[0] == " "
+        word = unit[1:] if spaced else unit
+        if word.isalpha() and is_plain_word(word):
+            return self._piece(unit)
+        if spaced and unit[-1] in MARKS and is_plain_word(word[:-1]):
+            return self.encoded[word[:-1]] + self.marks[unit[-1]]
         return self._encode(unit)
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a single pre-token."""
+        return array("I", [t.id for t in self.model.tokenize(self._spell(piece))]).tobytes()
+
     def _encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        """Pre-tokens that are told easily have their ids put together, words from those held; else the library decides."""
+        pieces = _PIECE.findall(text)
+        if sum(map(len, pieces)) != len(text) or self.added is not None and self.added.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(pieces) > 1 and pieces[0][0] == " ":
+            return self.encoded[pieces[0][1:]] + b"".join(map(self.pieces.__getitem__, pieces[1:]))
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; 0 for null and empty."""

@@ -133,3 +133,33 @@ def test_packing_edge_cases(spark):
     assert pack_documents(df.limit(0), PATH).collect() == []
     whole = sequences(best_fit(token_pieces(df, PATH, keep_ids=True))).collect()
     assert len(whole) == 1 and whole[0].n_tokens == 8 and len(whole[0].ids) == 32
+
+
+def held_vocabulary():
+    with open(PATH, encoding="utf-8") as file:
+        return bpe.Vocabulary(file.read())
+
+
+def test_easy_pre_tokens_are_put_together_without_the_library():
+    easy = ["One.\nTwo, three!!! 4th äpfer###.\nÜber (x) a.b", "...\nA 12.5% of <b>it</b>", "\nstart", "end.\n"]
+    other = [
+        "naïve×2.\nx", "it's we'll 'quoted'.\nx", "a \nb", "a\n\nb", "a\n b\t c.\r\nd", "日本.\nword", "<|endoftext|>.\nx", "x.<|endoftext|>",
+        "ª.\nª", "ß١٢.\n½", "a" * 70 + ".\n" + "b" * 70, "e\u0301.\ne", "_a_ __b\n_",
+    ]
+    rng = random.Random(8)
+    other += ["".join(rng.choices("abAé.,!_$\n 12'\xa0", k=60)) for _ in range(500)]
+    held = held_vocabulary()
+    for text in easy + other + easy:
+        assert np.frombuffer(held.ids(text), "<u4").tolist() == library_ids(text), repr(text)
+    held = held_vocabulary()
+    held.tokenizer = None
+    for text in easy:
+        assert np.frombuffer(held.ids(text), "<u4").tolist() == library_ids(text), repr(text)
+
+
+def test_pieces_are_forgotten_once_many_are_held(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 2)
+    held = held_vocabulary()
+    for text in ("One.\nTwo", "Three!!\nFour", "One.\nTwo"):
+        assert np.frombuffer(held.ids(text), "<u4").tolist() == library_ids(text)
+        assert len(held.pieces) <= 2
