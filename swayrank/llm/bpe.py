@@ -19,7 +19,7 @@ from functools import cached_property
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-CACHED_UNITS = 330_000
+CACHED_UNITS = 200_000
 KEPT_PIECES, PIECE_CHARS = 30_000, 64  # of units that are no plain words; some 5 MB
 MARKS = ".,!?;:"
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -189,10 +189,8 @@ class Vocabulary:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        model = json.loads(content)
-        self.rules = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
-        self.model = self.tokenizer.model
-        added = [t["content"] for t in model.get("added_tokens", [])]
+        self.content, self.model = content, self.tokenizer.model
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.symbols = byte_symbols()
         self.pieces = Pieces(self._piece)
@@ -210,7 +208,8 @@ class Vocabulary:
 
     @cached_property
     def merges(self) -> Merges:
-        return Merges(self.rules)
+        rules = json.loads(self.content)["model"]["merges"]
+        return Merges([tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in rules])
 
     def _count(self, unit: str) -> int:
         word = unit[1:] if unit[0] == " " else unit
