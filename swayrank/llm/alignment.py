@@ -1,14 +1,17 @@
 """Alignment of two tokenizers' tokens over the same bytes, by as-of merges of token starts.
 
 Both tokenizers cover the same bytes, so a token of one overlaps a token of the other if and only if the later of
-their starts lies in the other. For a batch of texts, `pandas.merge_asof` keyed by document gives each token start the
-other side's token that covers it; the pairs of both directions together are all overlaps. Offsets where tokens of both
-sides end cut the tokens into groups.
-
-A text is tokenised by units (see `bpe`) whose tokens do not depend on their surroundings, for either tokenizer; workers keep
-the answers for units seen last. The number of links of a pair of ids is a sum over the corpus: distinct pairs of a document
-and their times go into a table, are added up by pair, and meet their sums again. Pairs with the largest
-sums, `HOT_PAIRS` at most, are broadcast for that; the others are joined, and none of those is frequent.
+their starts lies in the other. `pandas.merge_asof` keyed by unit gives each token start the other side's token that
+covers it; the pairs of both directions together are all overlaps. Offsets where tokens of both sides end cut the tokens
+into groups.
+
+A text is tokenised by units (see `bpe`) whose tokens do not depend on their surroundings, for either tokenizer. Tokens of
+both sides end where a unit does, so links and groups lie within units: they are worked out once for a unit, many units at a
+time, and a text puts those of its units together. Workers keep the answers for units seen last.
+
+The number of links of a pair of ids is a sum over the corpus: distinct pairs of a document and their times go into a
+table, are added up by pair, and meet their sums again. Pairs with the largest sums, `HOT_PAIRS` at most, are broadcast
+for that; the others are joined, and none of those is frequent.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import hashlib
 import os
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -36,9 +39,13 @@ PAIR_BITS = 32  # a pair is one long: the first side's id, and below it the seco
 HOT_PAIRS = 1 << 19
 CACHED_UNITS = 200_000
 KEPT_LENGTH = 40  # longer units are not kept
-STEP_BYTES = 4 << 20  # of texts merged at a time; a longer text is merged alone
+STEP_BYTES = 4 << 20  # of texts taken at a time; a longer text is taken alone
+
+JOINED_UNITS = 128  # encoded as one text
+HEAD = 3  # numbers before the pairs of a unit: its tokens on either side and its groups
+NO_TOKENS = b"", b""
 
-_UNEVEN = re.compile(r"^\s| \s|\s |\s$")  # white space other than single spaces between what is visible
+_UNEVEN = re.compile(r"\s(?: |(?<= )\s)")  # white space next to a space
 
 
 def load_pieces(spark: SparkSession, path: str) -> Broadcast:
@@ -50,47 +57,52 @@ def load_pieces(spark: SparkSession, path: str) -> Broadcast:
 
 
 class Units:
-    """Tokens of units on both sides, kept by the unit without its leading space in two generations.
+    """What is known of units, kept by the unit without its leading space in two generations.
 
-    `encode` answers many units at a time: those of some texts that are not kept.
+    `answer` takes many units at a time: those of some texts that are not kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = CACHED_UNITS):
-        self.encode, self.limit = encode, limit
-        self.held: dict[str, object] = {}
-        self.older: dict[str, object] = {}
+    def __init__(self, answer: Callable[[list[str]], list], limit: int = CACHED_UNITS):
+        self.answer, self.limit = answer, limit
+        self.held: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     @staticmethod
     def cut(text: str | None) -> list[str]:
         """The units of a space and a text; none for null and empty."""
         if not text:
             return []
-        if _UNEVEN.search(text) is None:
+        if not (text[0].isspace() or text[-1].isspace() or _UNEVEN.search(text)):
             return text.split(" ")
         first, *rest = _CUT.split(" " + text)
         return [first[1:], *rest]
 
-    def of_texts(self, texts: list[str | None]) -> list[list]:
-        """The answers for the units of each text."""
+    def of_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        """How many units each text has, the numbers of all, and the answers by number."""
         cut = [self.cut(t) for t in texts]
-        found: dict[str, object] = {}
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        total, places = int(sizes.sum()), {}
+        seen_at = np.fromiter(map(places.setdefault, chain.from_iterable(cut), count()), np.int64, total)
+        number = np.empty(total, np.int64)
+        number[np.fromiter(places.values(), np.int64, len(places))] = np.arange(len(places))
+        distinct = list(places)
+        found = [*map(self.held.get, distinct)]
         missing = []
-        for unit in set().union(*cut):
-            value = self.held.get(unit, self)
-            if value is self:
-                value = self.older.get(unit, self)
-                if value is self:
-                    missing.append(unit)
-                    continue
-                self.held[unit] = value
-            found[unit] = value
-        new = dict(zip(missing, self.encode(missing)))
-        found.update(new)
-        self.held.update((u, v) for u, v in new.items() if len(u) <= KEPT_LENGTH)
+        for i, value in enumerate(found):
+            if value is None:
+                unit = distinct[i]
+                value = found[i] = self.older.get(unit)
+                if value is None:
+                    missing.append(i)
+                else:
+                    self.held[unit] = value
+        for i, value in zip(missing, self.answer([distinct[i] for i in missing])):
+            found[i] = value
+            if len(distinct[i]) <= KEPT_LENGTH:
+                self.held[distinct[i]] = value
         if len(self.held) >= self.limit:
             self.older, self.held = self.held, {}
-        get = found.__getitem__
-        return [[*map(get, units)] for units in cut]
+        return sizes, number[seen_at], found
 
 
 class Sides:
@@ -120,10 +132,10 @@ class Sides:
         self.lengths = [np.array([len(t) for t in table], np.int64) for table in (self.first_bytes, self.second_bytes)]
         if max(self.sizes) > 1 << ID_BITS or max(x.max() for x in self.lengths) >= 1 << 32 - ID_BITS:
             raise ValueError("a vocabulary has too many or too long tokens")
-        self.units = Units(self._encode)
+        self.units = Units(self._aligned)
         numbers = [str(i) for i in range(max(self.sizes))]
         # A token's text in a group, by twice its id, plus one if it is its side's last in the group.
-        self.texts = [np.array([n + end for n in numbers for end in (",", last)], object) for last in "|;"]
+        self.texts = [np.array([(n + end).encode() for n in numbers for end in (",", last)], object) for last in "|;"]
 
     @classmethod
     def of(cls, vocabulary: Broadcast, pieces: Broadcast) -> Sides:
@@ -133,36 +145,101 @@ class Sides:
             cls._held[key] = cls(vocabulary.value, pieces.value)
         return cls._held[key]
 
-    def _encode(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Tokens of units, each with a space before it, which the second side adds itself; None if a side does not give its bytes."""
-        if not units:
-            return []
-        first = [e.ids for e in self.first.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        sides = []
-        for rows, table in ((first, self.first_bytes), (self.second.encode(units, num_threads=1), self.second_bytes)):
+    def _tokens(self, texts: list[list[str]]) -> list[tuple[bytes, bytes] | None]:
+        """Tokens on both sides of each unit of texts put together from units, each with a space before it.
+
+        None stands for the units of a text that is not given back byte by byte, or whose tokens do not end where its units do.
+        """
+        joined = [" ".join(units) for units in texts]
+        raw = [(" " + t).encode() for t in joined]
+        size = np.fromiter((len(u.encode()) + 1 for units in texts for u in units), np.int64)
+        units_of = np.fromiter(map(len, texts), np.int64, len(texts))
+        wrong, sides = np.zeros(len(texts), bool), []
+        first = (e.ids for e in self.first.encode_batch_fast([" " + t for t in joined], add_special_tokens=False))
+        for rows, table, lengths in zip((first, self.second.encode(joined, num_threads=1)), (self.first_bytes, self.second_bytes), self.lengths):
+            rows = list(rows)
+            wrong |= np.fromiter((b"".join(map(table.__getitem__, r)) != t for r, t in zip(rows, raw)), bool, len(raw))
             ids = np.fromiter(chain.from_iterable(rows), np.int64)
-            packed = (ids | self.lengths[len(sides)][ids] << ID_BITS).astype(np.uint32).tobytes()
-            ends = (4 * np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))).tolist()
-            joined = [b"".join(map(table.__getitem__, r)) for r in rows]
-            sides.append(([packed[a:b] for a, b in zip([0, *ends], ends)], joined))
-        (first, a), (second, b) = sides
-        raw = ((" " + u).encode() for u in units)
-        return [(f, s) if x == r and y == r else None for f, s, x, y, r in zip(first, second, a, b, raw)]
-
-    def tokens(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Tokens of a space and each text on both sides; none if a side does not give its bytes back."""
-        made = []
-        for units in self.units.of_texts(texts):
-            if not units or None in units:
-                made.append((b"", b""))
-            else:
-                first, second = zip(*units)
-                made.append((b"".join(first), b"".join(second)))
+            sides.append(((ids | lengths[ids] << ID_BITS).astype(np.uint32), np.fromiter(map(len, rows), np.int64, len(rows))))
+        good = np.flatnonzero(~wrong)
+        size = size[np.repeat(~wrong, units_of)]  # of texts that are right, tokens have the bytes of units
+        unit_ends, text_of = np.cumsum(size), np.repeat(good, units_of[good])
+        cut = []
+        for packed, counts in sides:
+            packed = packed[np.repeat(~wrong, counts)]
+            ends = np.cumsum(packed >> np.uint32(ID_BITS), dtype=np.int64)
+            at = np.searchsorted(ends, unit_ends)
+            wrong[text_of[ends[at] != unit_ends]] = True
+            stops = (4 * (at + 1)).tolist()
+            packed = packed.tobytes()
+            cut.append([packed[a:b] for a, b in zip([0, *stops], stops)])
+        made, found = [], zip(*cut)
+        right = np.zeros(len(texts), bool)
+        right[good] = True
+        for units, whole, bad in zip(texts, right, wrong):
+            mine = list(islice(found, len(units))) if whole else []
+            made += [None] * len(units) if bad else mine
         return made
 
+    def _encode(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Tokens of units, each with a space before it, which the second side adds itself; None if a side does not give its bytes.
+
+        Units are encoded `JOINED_UNITS` at a time, with single spaces between them: their tokens do not depend on their
+        surroundings. Where that does not give the bytes, or a unit begins or ends with white space, they are encoded one by one.
+        """
+        even = [i for i, u in enumerate(units) if not (u[0].isspace() or u[-1].isspace())]
+        texts = [even[i : i + JOINED_UNITS] for i in range(0, len(even), JOINED_UNITS)]
+        made = dict(zip(even, self._tokens([[units[i] for i in t] for t in texts])))
+        alone = [i for i in range(len(units)) if made.get(i) is None]
+        made.update(zip(alone, self._tokens([[units[i]] for i in alone])))
+        return [made[i] for i in range(len(units))]
+
+    def _aligned(self, units: list[str]) -> list[tuple[bytes, bytes]]:
+        """What `gather` needs of units: numbers of tokens, groups and linked pairs, and the groups' texts; empty if they have no tokens."""
+        encoded = self._encode(units)
+        good = [e for e in encoded if e is not None]
+        if not good:
+            return [NO_TOKENS] * len(units)
+        batch = Aligned([list(t) for t in zip(*good)])
+        first, second = batch.links()
+        n_groups, groups = batch.groups(self.texts)
+        unit = batch.docs[0][first]
+        order = np.argsort(unit, kind="stable")
+        pairs = (batch.ids[0][first] * self.sizes[1] + batch.ids[1][second])[order]
+        stops = np.cumsum(np.bincount(unit, minlength=len(good)) + HEAD)
+        heads = np.concatenate(([0], stops[:-1]))
+        words = np.empty(stops[-1], np.int64)
+        is_pair = np.ones(len(words), bool)
+        for k, numbers in enumerate((batch.counts[0], batch.counts[1], n_groups)):
+            words[heads + k], is_pair[heads + k] = numbers, False
+        words[is_pair] = pairs
+        words, stops = words.tobytes(), (8 * stops).tolist()
+        made = iter([(words[a:b], g) for a, b, g in zip([0, *stops], stops, groups)])
+        return [NO_TOKENS if e is None else next(made) for e in encoded]
+
+    def gather(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes], np.ndarray, np.ndarray]:
+        """Numbers of tokens of either side and of groups by text, the groups, and text and pair of every link."""
+        sizes, number, found = self.units.of_texts(texts)
+        text = np.repeat(np.arange(len(texts)), sizes)
+        words, groups = zip(*found) if found else ((), ())
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) // 8
+        bad = np.zeros(len(texts), bool)
+        bad[text[lengths[number] == 0]] = True
+        number, text = number[~bad[text]], text[~bad[text]]
+        starts = np.cumsum(lengths) - lengths
+        words = np.frombuffer(b"".join(words), np.int64)
+        counts = np.zeros((HEAD, len(texts)), np.int64)
+        for k in range(HEAD):
+            np.add.at(counts[k], text, words[starts[number] + k])
+        links = lengths[number] - HEAD
+        at = np.arange(links.sum()) + np.repeat(starts[number] + HEAD - (np.cumsum(links) - links), links)
+        bounds, numbers = np.cumsum(np.bincount(text, minlength=len(texts))).tolist(), number.tolist()
+        made = [b";".join(map(groups.__getitem__, numbers[a:b])) for a, b in zip([0, *bounds], bounds)]
+        return list(counts), made, np.repeat(text, links), words[at]
+
 
 class Aligned:
-    """Links and groups of a batch of documents, from each side's tokens by document."""
+    """Links and groups of many units, from each side's tokens by unit."""
 
     def __init__(self, sides: list[list[bytes]]):
         self.counts = [np.array([len(t) // 4 for t in tokens], np.int64) for tokens in sides]
@@ -185,8 +262,8 @@ class Aligned:
         later = np.flatnonzero(starts[1] != starts[0][covered[1]])  # equal starts are found in both directions
         return np.concatenate((np.arange(len(starts[0])), covered[1][later])), np.concatenate((covered[0], later))
 
-    def groups(self, texts: list[np.ndarray]) -> tuple[np.ndarray, list[str]]:
-        """How many groups each document has, and their texts."""
+    def groups(self, texts: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+        """How many groups each unit has, and their texts."""
         common = self.ends[0][np.isin(self.ends[0], self.ends[1], assume_unique=True)]
         number = [np.searchsorted(common, ends) for ends in self.ends]
         last = [np.isin(ends, common, assume_unique=True) for ends in self.ends]
@@ -197,7 +274,7 @@ class Aligned:
         parts[np.arange(len(number[1])) + before[0][number[1] + 1]] = texts[1][2 * self.ids[1] + last[1]]
         bounds = np.concatenate(([0], np.cumsum(self.counts[0] + self.counts[1]))).tolist()
         parts = parts.tolist()
-        made = ["".join(parts[a:b])[:-1] for a, b in zip(bounds, bounds[1:])]
+        made = [b"".join(parts[a:b])[:-1] for a, b in zip(bounds, bounds[1:])]
         return np.bincount(self.docs[0][last[0]], minlength=len(self.counts[0])), made
 
 
@@ -221,22 +298,19 @@ def linked_tokens(
     )
     target = arrow_schema(schema)
 
-    def aligned(ids: pa.Array, tokens: list[tuple[bytes, bytes]], sides: Sides) -> pa.RecordBatch:
-        batch = Aligned([list(t) for t in zip(*tokens)])
-        count = len(tokens)
-        first, second = batch.links()
-        n_groups, groups = batch.groups(sides.texts)
-        doc = batch.docs[0][first]
-        whole, times = np.unique(
-            (doc * sides.sizes[0] + batch.ids[0][first]) * sides.sizes[1] + batch.ids[1][second], return_counts=True
-        )
-        rest, b = np.divmod(whole, sides.sizes[1])
-        pair_doc, a = np.divmod(rest, sides.sizes[0])
+    def aligned(ids: pa.Array, texts: list[str | None], sides: Sides) -> pa.RecordBatch:
+        size, pairs_of_text = len(texts), sides.sizes[0] * sides.sizes[1]
+        (n_a, n_b, n_groups), groups, text, pairs = sides.gather(texts)
+        whole, times = np.unique(text * pairs_of_text + pairs, return_counts=True)
+        pair_text, pair = np.divmod(whole, pairs_of_text)
+        a, b = np.divmod(pair, sides.sizes[1])
         made = {
-            "doc_id": ids, "n_a": batch.counts[0], "n_b": batch.counts[1], "n_groups": n_groups, "n_links": np.bincount(doc, minlength=count),
-            "groups_sha256": [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], "groups": groups,
-            "pairs": _lists(a << PAIR_BITS | b, pair_doc, count, pa.int64()), "times": _lists(times, pair_doc, count, pa.int32()),
+            "doc_id": ids, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": np.bincount(text, minlength=size),
+            "groups_sha256": [hashlib.sha256(g).hexdigest() if g else "" for g in groups],
+            "pairs": _lists(a << PAIR_BITS | b, pair_text, size, pa.int64()), "times": _lists(times, pair_text, size, pa.int32()),
         }
+        if keep_groups:
+            made["groups"] = [g.decode() for g in groups]
         return record_batch(made, target)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +320,7 @@ def linked_tokens(
             for n, t in enumerate(texts):
                 size += len(t or "")
                 if size >= step_bytes or n + 1 == len(texts):
-                    yield aligned(ids.slice(start, n + 1 - start), sides.tokens(texts[start : n + 1]), sides)
+                    yield aligned(ids.slice(start, n + 1 - start), texts[start : n + 1], sides)
                     size, start = 0, n + 1
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -291,7 +365,7 @@ def align_tokens(
 
     Null and empty texts, and texts that a side does not give back byte by byte, have no tokens: zeros and ''. Names of
     special tokens in a text are plain text. Null ids, ties and repeated rows are rows like others, each counts; other
-    columns are ignored; an empty table gives no rows. Very long texts are merged alone, whole.
+    columns are ignored; an empty table gives no rows. Very long texts are taken alone, whole.
     """
     made = linked_tokens(docs, vocabulary, pieces, keep_groups, doc_id, text, step_bytes)
     linked = freeze(made.withColumn("row", F.monotonically_increasing_id()))

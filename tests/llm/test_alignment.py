@@ -81,3 +81,30 @@ def test_units_do_not_change_tokens(spark):
 
 def test_no_documents(spark):
     assert alignment.align_tokens(spark.createDataFrame([], "doc_id long, text string"), FIRST, SECOND).collect() == []
+
+
+def test_units_are_encoded_together():
+    with open(FIRST, encoding="utf-8") as vocabulary, open(SECOND, "rb") as pieces:
+        sides = alignment.Sides(vocabulary.read(), pieces.read())
+    asked, library = [], sides.first
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+
+    sides.first = Counting()
+    units = [f"w{n}." for n in range(1000)] + ["▁", " x", "x ", "a\nb", "é", "<s>", "x\u0000y", "'s", "\u0301", "<|endoftext|>"]
+    together = sides._encode(units)
+    assert sum(asked) < len(units) / 3
+    assert together == [sides._encode([u])[0] for u in units]
+    assert None in together
+
+
+def test_texts_without_tokens():
+    with open(FIRST, encoding="utf-8") as vocabulary, open(SECOND, "rb") as pieces:
+        sides = alignment.Sides(vocabulary.read(), pieces.read())
+    for texts in ([], [None], ["", None, "▁"], ["▁", "x", None]):
+        counts, groups, text, pairs = sides.gather(texts)
+        assert [c.tolist() for c in counts] == [[int(t == "x") for t in texts]] * 3
+        assert len(groups) == len(texts) and text.tolist() == [n for n, t in enumerate(texts) if t == "x"] and len(pairs) == len(text)
